@@ -16,7 +16,7 @@ def _at(uri: str):
 def open_write(uri: str):
     system, path = _at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_read(uri: str):
