@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, classifier, decontam, mixing, rules, simhash, tokens, warc
+from millrace.llm import chat, classifier, decontam, lines, mixing, rules, simhash, substrings, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op4_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(tokens.write_tokens(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.decisions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
+def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *rules.STATS[:5], "base_failed", "kept")
 
 
-QUERIES = [op1_mix_sources, op2_chat_format, op3_decontaminate, op4_bit_plane_tokens, op7_simhash, op8_compression_classifier, op9_warc, op10_quality_rules]
+QUERIES = [op1_mix_sources, op2_chat_format, op3_decontaminate, op4_bit_plane_tokens, op5_fuzzy_lines, op6_super_kmers, op7_simhash, op8_compression_classifier, op9_warc, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
