@@ -46,7 +46,9 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     base = base.withColumn(b, F.transform(a, lambda w: F.xxhash64(w)))
     n = F.size(a)
-    base = base.withColumn(c, F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(b, i, WINDOW)))))
+    # each array is named more than once by the next step, so the optimizer never moves its computation into a lambda
+    size = F.size(b)
+    base = base.withColumn(c, F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(b, i, WINDOW)))))
     base = base.withColumn(d, F.when(F.size(F.array_distinct(c)) < F.size(c), _repeat_words(F.col(c))))
     same = lambda j, x: F.coalesce(F.get(F.col(d), j)["h"] == x["h"], F.lit(False))
     base = base.withColumn(e, F.array_sort(F.transform(F.filter(d, lambda x, j: same(j - 1, x) | same(j + 1, x)), lambda x: x["i"])))

@@ -14,6 +14,7 @@ their text; an empty table writes no file and reads as no rows; long texts are e
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -36,7 +37,7 @@ BLOCK = 1 << 16
 END_ID = 2
 # Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_PIECES, MAX_WORDS = 250_000, 500_000
+MAX_PIECES, MAX_WORDS = 100_000, 250_000
 
 
 class Encoder:
@@ -44,13 +45,14 @@ class Encoder:
 
     Byte-level BPE with that pattern never makes a token across the start of white space that follows other text, so a
     text's ids are those of its pieces `white space + other`, one after another; pieces and words seen before are looked up.
-    The caches are emptied at a fixed number of entries.
+    A cache has two generations of a fixed number of entries, so what is used stays and memory is bounded.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.pieces, self.old_pieces, self.words, self.old_words = Tokenizer.from_file(path), {}, {}, {}, {}
         self.split, self.plain = regex.compile(PATTERN), regex.compile(r"[\t\n\r\x20-\x7EÀ-ɏ]*")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(self.tokenizer.to_str())
@@ -70,17 +72,38 @@ class Encoder:
         if not self.cached:
             return self.whole(texts)
         if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
+            self.old_pieces, self.pieces = self.pieces, {}
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        cut_up, known = [pieces_of(x) for x in texts], self.pieces
-        unseen = {p: self._parts(p) for p in {p for ps in cut_up for p in ps if p not in known}}
-        new = list({w for ws in unseen.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, self.whole(new), strict=True))
-        known.update((p, b"".join([self.words[w] for w in ws])) for p, ws in unseen.items())
+            self.old_words, self.words = self.words, {}
+        cut_up, known, words = [pieces_of(x) for x in texts], self.pieces, self.words
+        unseen = {p for ps in cut_up for p in ps if p not in known}
+        parts = {}
+        for p in unseen:
+            if (ids := self.old_pieces.get(p)) is not None:
+                known[p] = ids
+            else:
+                parts[p] = self._parts(p)
+        new = []
+        for w in {w for ws in parts.values() for w in ws if w not in words}:
+            if (ids := self.old_words.get(w)) is not None:
+                words[w] = ids
+            else:
+                new.append(w)
+        words.update(zip(new, self.whole(new), strict=True))
+        known.update((p, b"".join([words[w] for w in ws])) for p, ws in parts.items())
         return [b"".join([known[p] for p in ps]) for ps in cut_up]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whose caches outlive a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 _SPACED, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
@@ -185,7 +208,7 @@ def _writer(vocabulary: str, folder: str, end_id: int, block: int, bits: bool) -
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = writer = None
         part, path, n_docs = TaskContext.get().partitionId(), f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.planes", 0
-        encode, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in row_batches(batches):
             if writer is None:
                 out = open_write(path)
@@ -232,5 +255,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """Read back from the files: doc_id, start, n_tokens, ids_crc32; a task for each file."""
-    files = manifest.select("path", "base").repartition(F.col("path"))
+    files = manifest.select("path", "base").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

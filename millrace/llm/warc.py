@@ -187,7 +187,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_pages(manifest: DataFrame) -> DataFrame:
     """Read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = manifest.select("path").repartition(F.col("path"))
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
