@@ -26,10 +26,9 @@ MIN_COVER = 5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks"]
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words covered by windows found twice or more, from the array of the text's window hashes; sorts, so n log n at worst."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return ordered
+def _ordered(hashes: Column) -> Column:
+    """The text's window hashes with their places, in order: equal windows become neighbours."""
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -49,9 +48,9 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     # each array is named more than once by the next step, so the optimizer never moves its computation into a lambda
     size = F.size(b)
     base = base.withColumn(c, F.when(size >= WINDOW, F.transform(F.sequence(F.lit(1), size - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(b, i, WINDOW)))))
-    base = base.withColumn(d, F.when(F.size(F.array_distinct(c)) < F.size(c), _repeat_words(F.col(c))))
+    base = base.withColumn(d, F.when(F.size(F.array_distinct(c)) < F.size(c), _ordered(F.col(c))))
     same = lambda j, x: F.coalesce(F.get(F.col(d), j)["h"] == x["h"], F.lit(False))
-    base = base.withColumn(e, F.array_sort(F.transform(F.filter(d, lambda x, j: same(j - 1, x) | same(j + 1, x)), lambda x: x["i"])))
+    base = base.withColumn(e, F.sort_array(F.transform(F.filter(d, lambda x, j: same(j - 1, x) | same(j + 1, x)), lambda x: x["i"])))
     covered = F.aggregate(F.transform(e, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(e), j + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
     marks = F.col(f"{a}_marks")
     symbols = F.length(F.regexp_replace(marks, "[!A-Z]+", ""))
@@ -231,5 +230,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     stats = cut(measured.select("doc_id", column))
     found = learn_from(stats, column, "doc_id", labels)
     again, column = text_stats(docs, text)
-    s = F.col(column)
-    return again.where(~base_failed(s) & found.verdict(s)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    s, barrier = F.col(column), fresh(again.columns, "__barrier")
+    # a filter isn't pushed through a non-deterministic projection; pushed down, it would compute the statistics inside lambdas
+    again = again.withColumn(barrier, F.rand(0))
+    return again.where(~base_failed(s) & found.verdict(s) & (F.col(barrier) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
