@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import relational
+from millrace.plans import engine_queries, relational
 
-MODULES = [relational]
+MODULES = [relational, engine_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
