@@ -251,7 +251,7 @@ def jaccard(a, b):
 
 def test_fuzzy_lines(spark):
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([3, 20, 60, 90]))) for _ in range(25)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([3, 20, 60, 90, 260]))) for _ in range(25)]
     data, k = [], 0
     for _ in range(40):
         text = []
@@ -263,7 +263,7 @@ def test_fuzzy_lines(spark):
         data.append((k, "\n".join([*text, ""]), "en", "s", 1))
         k += 1
     data += [(None, data[0][1], "", "", 0), (900, None, "", "", 0), data[3]]
-    norm = lambda x: lower(" ".join(x.split()))
+    norm = lambda x: " ".join(x.split()).lower()
     all_lines = {norm(x) for r in data for x in (r[1] or "").split("\n") if x.strip()}
     parent = {x: x for x in all_lines}
 
