@@ -98,6 +98,8 @@ CATALOGUE: dict[str, tuple[str, str, str | None]] = {
     "equality_seconds": ("P21", "SELECT a.event_id FROM events a JOIN (SELECT event_id, ts + INTERVAL '0.4' SECOND AS ts FROM events) b ON a.event_id = b.event_id WHERE date_trunc('SECOND', a.ts) = date_trunc('SECOND', b.ts)", "SELECT event_id FROM events WHERE date_trunc('second', ts) = date_trunc('second', ts + INTERVAL '400 milliseconds')"),
     "count_min_max_index": ("A4 A6 A7", "SELECT count(*) AS n, min(event_id) AS lo, max(event_id) + 1 AS next FROM events", None),
     "url_filter": ("F10", "SELECT page_id FROM pages WHERE url LIKE 'http%' AND (startswith(url, 'https://') OR url RLIKE '^http://[^/]+/[a-z]+')", "SELECT page_id FROM pages WHERE url LIKE 'http%' AND (starts_with(url, 'https://') OR regexp_matches(url, '^http://[^/]+/[a-z]+'))"),
+    "turn_number": ("W2", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) div 2 AS BIGINT) AS number FROM conversations", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) // 2)::BIGINT AS number FROM conversations"),
+    "last_entry": ("W4", "SELECT conv_id, max_by(md5(text), turn) AS last FROM conversations GROUP BY conv_id", "SELECT conv_id, arg_max(md5(text), turn) AS last FROM conversations GROUP BY conv_id"),
     "adder": ("F12", "SELECT event_id, event_id + user_id AS sum, (event_id + user_id) % 2 = 0 AS is_even FROM events", None),
 }
 # without an exact counterpart: rows only

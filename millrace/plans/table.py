@@ -159,3 +159,11 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key; a ranking, so ties in ``order`` are broken by all its columns."""
     w = Window.partitionBy(key).orderBy(*(F.col(o).desc() for o in order))
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def latest_version(df: DataFrame, key: str, version: str) -> DataFrame:
+    """The row with the greatest semantic version of each key; a pre-release comes before its release."""
+    core, pre = F.split_part(version, F.lit("-"), F.lit(1)), F.regexp_extract(version, r"^[^-]*-(.*)$", 1)
+    parts = F.transform(F.split(core, r"\."), lambda x: x.try_cast("int"))
+    rank = F.struct(parts.alias("n"), (pre == "").alias("release"), pre.alias("pre"))
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), rank).alias("v")).select("v.*")

@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import __main__ as command
 from millrace import types as k
 from millrace.functions import scalar, vector
 from millrace.operators import capability, infer, module, repair
@@ -17,7 +18,7 @@ from millrace.operators.capability import Capability
 from millrace.operators.module import Failed, Module
 from millrace.plans import sqlview, table
 from millrace.plans.pipeline import Pipeline
-from millrace.sources import files
+from millrace.sources import files, logfile
 from millrace.streaming import replay, session
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
@@ -359,3 +360,33 @@ def test_replay_and_windows(spark, sf, tmp_path):
     sent = []
     replay.http_callback("http://x", lambda *a: sent.append(a))(7, {"a": 1})
     assert sent == [("http://x", {"X-Row-Index": "7"}, {"a": 1})]
+
+
+def test_log_files(spark, tmp_path):
+    log = logfile.LogFile(str(tmp_path / "log"), 3)
+    assert [log.append({"i": i, "name": f"n{i}"}) for i in range(8)] == list(range(8))
+    assert log.get(4) == {"i": 4, "name": "n4"} and log.get(9) is None and len(list(log.read_all())) == 8
+    last = sorted((tmp_path / "log").glob("*.log"))[-1]
+    last.write_bytes(last.read_bytes()[:-3])  # a torn tail
+    again = logfile.LogFile(str(tmp_path / "log"), 3)
+    assert again.next == 7 and again.append({"i": 70, "name": "x"}) == 7 and again.get(7)["i"] == 70
+    logfile.log_to_parquet(spark, str(tmp_path / "log"), f"file://{tmp_path}/log.parquet")
+    assert spark.read.parquet(f"file://{tmp_path}/log.parquet").count() == 8
+    assert again.delete_older_than(4) == 1 and again.get(0) is None and again.get(4)["i"] == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "c.json").write_text(json.dumps({"module": "millrace.plans.engine_queries:PREFIX", "path": f"file://{tmp_path}/p"}))
+    (tmp_path / "in.csv").write_text("input\nhello\nworld\n")
+    command.main(["run", str(tmp_path / "c.json"), f"file://{tmp_path}/in.csv", "-o", f"file://{tmp_path}/out"])
+    lines = [json.loads(x) for f in sorted(tmp_path.glob("out/success.jsonl/*.json")) for x in f.read_text().splitlines()]
+    assert [x["output"] for x in lines] == ["Prefixed: hello", "Prefixed: world"]
+    command.main(["row", str(tmp_path / "c.json"), '{"input": "x"}'])
+    command.main(["sql", f"file://{tmp_path}/in.csv", "SELECT count(*) AS n FROM data"])
+    assert '{"output": "Prefixed: x"}' in capsys.readouterr().out
+
+
+def test_latest(spark):
+    df = spark.createDataFrame([("a", "1.9.0"), ("a", "1.10.0-rc1"), ("a", "1.10.0"), ("b", "0.1.0")], "name string, version string")
+    assert {tuple(r) for r in table.latest_version(df, "name", "version").collect()} == {("a", "1.10.0"), ("b", "0.1.0")}
+    assert table.latest(df, "name", ["version"]).count() == 2
