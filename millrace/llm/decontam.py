@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import fresh, lowered, row_batches, small_batches, text_values, window_hashes, word_table
 
@@ -150,8 +151,8 @@ def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
         sieves = {q: Sieve(np.concatenate(x)) for q, x in grams.items()}
         counted = docs.select(f"`{text}`").mapInArrow(_counter(sieves, 0), "q int, k long, n long").groupBy("q", "k").agg(F.sum("n").alias("n")).collect() if windows else []
         counts = {(r["q"], int(sieves[r["q"]].keys[r["k"]])): r["n"] for r in counted}
-        fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
-        out = out.mapInArrow(_matcher(Index(windows, counts), [r["id"] for r in part], text_at, k, b == 0), ", ".join([*fields, f"c{k} long", f"c{k + 1} array<long>", f"c{k + 2} array<string>"]))
+        kinds = [*(f.dataType for f in docs.schema), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
+        out = out.mapInArrow(_matcher(Index(windows, counts), [r["id"] for r in part], text_at, k, b == 0), T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(kinds)]))
     return (out.toDF(*docs.columns, *names), *names)
 
 
