@@ -17,8 +17,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ BLOCK = 1 << 16
 END_ID = 2
 # Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_PIECES, MAX_WORDS = 100_000, 250_000
+MAX_PIECES, MAX_WORDS = 200_000, 500_000
 
 
 class Encoder:
@@ -61,9 +63,15 @@ class Encoder:
         self.cached = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and byte_level.get("use_regex", True) and not any(" " in x for x in self.special)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, piece: str) -> list[str]:
+        found = [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in found:
+                x.byteswap()
+        return [x.tobytes() for x in found]
+
+    def _parts(self, piece: str) -> list[str] | tuple[str, ...]:
+        if m := _WORD.fullmatch(piece):  # the usual piece: letters, then marks
+            return m.groups() if m[2] else (m[1],)
         if not self.plain.fullmatch(piece) or any(x in piece for x in self.special):
             return [piece]
         return self.split.findall(piece)
@@ -104,6 +112,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:;=?@\[-`{-~]*)")
 _SPACED, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
