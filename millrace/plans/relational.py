@@ -61,7 +61,7 @@ CATALOGUE: dict[str, tuple[str, str, str | None]] = {
     "range_frame": ("D23", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM events", None),
     "groups_frame": ("D24", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY d RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d FROM orders)", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders"),
     "qualify": ("D25", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
-    "order_nulls": ("D26 O1", "SELECT k, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST, k) AS BIGINT) AS a, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS BIGINT) AS d FROM (SELECT event_id AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS v FROM events WHERE event_id < 200)", None),
+    "order_nulls": ("D26 O1", "SELECT k, CAST(row_number() OVER (ORDER BY v ASC NULLS LAST, k) AS BIGINT) AS a, CAST(row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS BIGINT) AS d FROM (SELECT event_id AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS v FROM events)", None),
     "topk": ("D27 O1 O4", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", None),
     "offset_limit": ("D27 O3", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100", None),
     "union_all": ("D28 U2", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
