@@ -26,3 +26,9 @@ def test_order_nulls(spark, tmp_path):
     got = both(spark, tmp_path, "order_nulls", events=spark.createDataFrame([(k, -k) for k in ids], "event_id long, user_id long"))
     # multiples of 5 are null: last when ascending, first when descending
     assert got == sorted([(4001, 1, 6), (199, 2, 5), (3, 3, 4), (5, 4, 1), (200, 5, 2), (205, 6, 3)], key=str)
+
+
+def test_unnest(spark, tmp_path):
+    data = [(0, [0.5, 1.5, 2.5, 3.5, 4.5]), (50, [6.5]), (51, []), (52, None), (1000, [float(k) for k in range(64)])]
+    got = both(spark, tmp_path, "unnest", embeddings=spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    assert got == sorted([(k, pos, x) for k, v in data for pos, x in enumerate(v or [])], key=str)
