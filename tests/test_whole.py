@@ -32,3 +32,10 @@ def test_unnest(spark, tmp_path):
     data = [(0, [0.5, 1.5, 2.5, 3.5, 4.5]), (50, [6.5]), (51, []), (52, None), (1000, [float(k) for k in range(64)])]
     got = both(spark, tmp_path, "unnest", embeddings=spark.createDataFrame(data, "vec_id long, embedding array<float>"))
     assert got == sorted([(k, pos, x) for k, v in data for pos, x in enumerate(v or [])], key=str)
+
+
+def test_interval_fn(spark, tmp_path):
+    data = [(10, "2024-02-28 00:30:00"), (11, "2024-12-31 23:59:59.25"), (13, "2024-01-01 10:00:00"), (19, None)]
+    events = spark.createDataFrame(data, "event_id long, t string").selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts")
+    got = both(spark, tmp_path, "interval_fn", events=events)
+    assert got == [(10, "2024-02-29 23:30:00"), (11, "2025-01-02 22:59:59.25"), (13, "2024-01-03 09:00:00"), (19, None)]
