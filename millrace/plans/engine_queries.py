@@ -148,7 +148,7 @@ def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coerce_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
-    b = read(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    b = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
     return kinds.union(a, b)
 
 
@@ -257,7 +257,7 @@ ORACLE: dict[str, str] = {
     "repair_bool": "WITH t AS (SELECT event_id, (['TRUE', 'no', '1', 't', '0', 'Yes', 'off'])[event_id % 7 + 1] AS s FROM events) SELECT event_id, CASE WHEN lower(s) IN ('true', '1', 'yes') THEN true WHEN lower(s) IN ('false', '0', 'no') THEN false END AS b, CASE WHEN lower(s) NOT IN ('true', '1', 'yes', 'false', '0', 'no') THEN 'b: Parse' END AS error FROM t",
     "repair_list": "SELECT event_id, 2::BIGINT AS n, user_id AS second, user_id AS one, NULL::VARCHAR AS gone, NULL::VARCHAR AS error FROM events",
     "project_columns": "SELECT n_name, NULL::BIGINT AS missing, n_nationkey FROM nation",
-    "coerce_union": "SELECT r_regionkey::BIGINT AS k, r_name AS name, NULL::DOUBLE AS price FROM region UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderkey < 40",
+    "coerce_union": "SELECT r_regionkey::BIGINT AS k, r_name AS name, NULL::DOUBLE AS price FROM region UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders",
     "deep_get": "SELECT n_nationkey, n_name AS c, NULL::VARCHAR AS blocked FROM nation",
     "time_parse": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 1 THEN date_trunc('second', o_orderdate) WHEN 2 THEN date_trunc('minute', o_orderdate) WHEN 3 THEN date_trunc('minute', o_orderdate) WHEN 4 THEN date_trunc('hour', o_orderdate) ELSE date_trunc('day', o_orderdate)::TIMESTAMP END AS t FROM orders",
     "scalar_functions": "SELECT event_id, 'Prefixed: ' || event_type AS p, '[TEST] ' || upper(event_type) || '!ab' AS t, gcd(event_id, user_id)::BIGINT AS g, lcm(event_id + 1, user_id + 1)::BIGINT AS l, least(500, event_id + user_id) AS b, trunc(value - 50)::BIGINT AS tr, event_type IN ('click', 'view') AS m, event_id = 0 AS z FROM events",

@@ -39,3 +39,10 @@ def test_interval_fn(spark, tmp_path):
     events = spark.createDataFrame(data, "event_id long, t string").selectExpr("event_id", "CAST(t AS TIMESTAMP_NTZ) AS ts")
     got = both(spark, tmp_path, "interval_fn", events=events)
     assert got == [(10, "2024-02-29 23:30:00"), (11, "2025-01-02 22:59:59.25"), (13, "2024-01-03 09:00:00"), (19, None)]
+
+
+def test_coerce_union(spark, tmp_path):
+    region = spark.createDataFrame([(0, "AFRICA")], "r_regionkey int, r_name string")
+    orders = spark.createDataFrame([(1, 1.5), (39, 2.5), (40, 3.5), (70001, 4.5)], "o_orderkey long, o_totalprice double")
+    got = both(spark, tmp_path, "coerce_union", region=region, orders=orders)
+    assert got == sorted([(0, "AFRICA", None), (1, None, 1.5), (39, None, 2.5), (40, None, 3.5), (70001, None, 4.5)], key=str)
