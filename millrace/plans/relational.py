@@ -31,7 +31,7 @@ CATALOGUE: dict[str, tuple[str, str, str | None]] = {
     "cross_join": ("D4", "SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "left_join": ("D5", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000", None),
     "right_join": ("D5", "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey", None),
-    "full_outer": ("D5", "SELECT d.doc_id AS d, l.doc_id AS l FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id", None),
+    "full_outer": ("D5", "SELECT d.doc_id AS d, l.doc_id AS l FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id", None),
     "semi_join": ("D6", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)", None),
     "anti_join": ("D6", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
     "in_subquery": ("D6", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)", None),

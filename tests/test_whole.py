@@ -46,3 +46,9 @@ def test_coerce_union(spark, tmp_path):
     orders = spark.createDataFrame([(1, 1.5), (39, 2.5), (40, 3.5), (70001, 4.5)], "o_orderkey long, o_totalprice double")
     got = both(spark, tmp_path, "coerce_union", region=region, orders=orders)
     assert got == sorted([(0, "AFRICA", None), (1, None, 1.5), (39, None, 2.5), (40, None, 3.5), (70001, None, 4.5)], key=str)
+
+
+def test_full_outer(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "doc_id long")
+    got = both(spark, tmp_path, "full_outer", documents=ids(1, 2, 3, 4, 6), labels=ids(2, 3, 5, 9))
+    assert got == sorted([(1, None), (2, 2), (3, 3), (4, None), (6, None), (None, 5), (None, 9)], key=str)
