@@ -2,10 +2,11 @@
 
 Lines are normalised (white space runs to one space, trimmed, lower case) and reduced to distinct ones by a
 pre-aggregated minimum. A distinct line's set of SHINGLE-character shingles gets one-permutation MinHash signatures of
-BANDS x ROWS bins; two lines with Jaccard similarity 0.8 share a band with probability 0.998. Buckets of a band with two or
+BANDS x ROWS bins; two lines with Jaccard similarity 0.8 share a band with probability 0.998, less
+if they have few distinct shingles, as filled-in bins depend on each other. Buckets of a band with two or
 more lines are candidates. The same set of lines in several bands is looked at once. Before texts are shuffled, long candidates
-are compared by sketches, one byte for each signature bin: at similarity 0.8 fewer than half of 48 bins agree once in a
-million pairs. For what is left exact Jaccard is computed on the lines' texts, skipping pairs that are already connected. Links are joined up by distributed components, and of each
+are compared by sketches, which count a line's distinct shingles in each of BUCKETS buckets: two lines have no more shingles
+in common than the sum of the lesser counts, so no pair of similarity 0.8 is dropped. For what is left exact Jaccard is computed on the lines' texts, skipping pairs that are already connected. Links are joined up by distributed components, and of each
 component just the first line by (doc_id, line number) is kept.
 
 A bucket with more than BLOCK lines is split into pairs of blocks, so that no task holds it whole and no link is lost.
@@ -31,8 +32,8 @@ SHINGLE = 5
 BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
 BLOCK = 512
-# lines of fewer bytes aren't sketched; sketches fit if at least AGREE bins agree
-SKETCHED, AGREE = 200, 24
+# lines of fewer bytes aren't sketched, as their texts are short too
+SKETCHED, BUCKETS = 200, 64
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64((1 << 64) - 1)
 _CHUNK = 1 << 20
@@ -133,20 +134,32 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(*held)
 
 
+def sketch_of(line: bytes) -> bytes:
+    """How many distinct shingles fall in each bucket; empty, which fits all, for a short line or if a count is over a byte."""
+    if len(line) < SKETCHED:
+        return b""
+    counts = np.bincount((np.unique(shingle_hashes(line)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sketch) of each line; a line of few characters has an empty sketch, which fits all."""
+    """(key, sketch) of each line."""
     for batch in row_batches(batches):
-        lines = text_values(batch.column(1))
-        rows = mix64(minima(lines)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() if len(x) >= SKETCHED else b"" for r, x in zip(rows, lines, strict=True)], pa.binary())], names=["key", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch_of(x) for x in text_values(batch.column(1))], pa.binary())], names=["key", "sketch"])
+
+
+def fitting(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether Jaccard can reach SIMILARITY with ``common`` shingles at most in both of sets of sizes a and b."""
+    return common >= SIMILARITY * (a + b - common)
 
 
 def plausible(keys: np.ndarray, sketches: np.ndarray, fits: np.ndarray) -> list[np.ndarray]:
-    """Clusters of keys that pairs of agreeing sketches connect. ``fits``: lines without a sketch."""
-    same = np.zeros((len(keys), len(keys)), np.uint8)
+    """Clusters of keys that pairs of fitting sketches connect. ``fits``: lines without a sketch."""
+    common = np.zeros((len(keys), len(keys)), np.int32)
     for k in range(sketches.shape[1]):
-        same += sketches[:, k][:, None] == sketches[:, k][None, :]
-    linked = (same >= AGREE) | fits[:, None] | fits[None, :]
+        common += np.minimum(sketches[:, k][:, None], sketches[:, k][None, :])
+    sizes = sketches.sum(axis=1, dtype=np.int32)
+    linked = fitting(common, sizes[:, None], sizes[None, :]) | fits[:, None] | fits[None, :]
     label = np.arange(len(keys))
     while True:
         new = np.where(linked, label[None, :], len(keys)).min(axis=1)
@@ -165,7 +178,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(group[1:] != group[:-1]) + 1
         starts, ends = np.concatenate(([0], new)), np.concatenate((new, [len(group)]))
         pairs = starts[ends - starts == 2]  # the usual group, all of them at once
-        good = ((sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= AGREE) | fits[pairs] | fits[pairs + 1]
+        common, sizes = np.minimum(sketch[pairs], sketch[pairs + 1]).sum(axis=1, dtype=np.int32), sketch.sum(axis=1, dtype=np.int32)
+        good = fitting(common, sizes[pairs], sizes[pairs + 1]) | fits[pairs] | fits[pairs + 1]
         clusters = list(np.stack([key[pairs[good]], key[pairs[good] + 1]], axis=1))
         for s, e in zip(*(x[ends - starts > 2].tolist() for x in (starts, ends)), strict=True):
             clusters += plausible(key[s:e], sketch[s:e], fits[s:e])
@@ -175,7 +189,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_batches(batches):
         raw = batch.column(2).to_pylist()
         fits = np.array([not x for x in raw])
-        sketch = np.frombuffer(b"".join(x or bytes(_BINS) for x in raw), np.uint8).reshape(-1, _BINS)
+        sketch = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in raw), np.uint8).reshape(-1, BUCKETS)
         rows = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)), sketch, fits)
         if held is not None:
             rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
