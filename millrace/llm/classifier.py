@@ -6,7 +6,7 @@ compressed with either dictionary; g and b are the summed sizes. The score is lo
 weighted to the classes' shares among all labelled rows.
 
 Fitting uses a bounded sample: SAMPLE rows of each class at most, those with the smallest hash of doc_id; of those, the
-dictionaries see the first SAMPLE_CHARS characters. Calibration and scoring use whole texts on the executors.
+dictionaries see SAMPLE_CHARS characters each, whole pieces of CHUNK characters chosen by hash from the whole text. Calibration and scoring use whole texts on the executors.
 
 Edge cases: null and empty texts have difference 0 and ratio 1, scored like any other; labels that are null, or of rows in
 the held-out fold, are never read; a row labelled twice counts with its lower label; if a class has no labelled text, all
@@ -33,6 +33,14 @@ LEVEL = 3
 THRESHOLD = 0.7
 
 
+def spread(text: Column, key: Column) -> Column:
+    """Short texts whole; of longer ones, the SAMPLE_CHARS / CHUNK pieces with the least hash, in the order of the text."""
+    n = F.ceil(F.length(text) / CHUNK).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(key, i).alias("hash"), i.alias("at")))
+    ats = F.array_sort(F.transform(F.slice(F.array_sort(drawn), 1, SAMPLE_CHARS // CHUNK), lambda x: x["at"]))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(F.transform(ats, lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK))), ""))
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that learning never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -123,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = F.broadcast(spark.createDataFrame([(r["id"], int(r["y"] == 1)) for r in chosen], "id long, y int"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(ids, "id")
     for_dictionary = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0
-    seen = rows.where(for_dictionary).select("y", F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(2 * sample).collect()
+    seen = rows.where(for_dictionary).select("y", spread(F.col("text"), F.col("id")).alias("t")).limit(2 * sample).collect()
     texts = [sorted(r["t"] for r in seen if r["y"] == y and r["t"]) for y in (1, 0)]
     if not all(texts):
         return Model(prior=prior)
