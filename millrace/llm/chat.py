@@ -107,13 +107,15 @@ def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def canonical_json(df: DataFrame, json: str, conv_id: str | None = None) -> DataFrame:
-    """The same from a column of JSON objects of mixed layouts, each row by its own fingerprint; unknown rows have null turns."""
+    """The same from a column of JSON objects of mixed layouts, each row by its own fingerprint, of the keys of all its messages; an empty list of messages has no turns, unknown rows have null turns."""
     c = F.col(f"`{json}`")
     nested = sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})
     found = [F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))]
     for p in nested:
-        keys = F.json_object_keys(F.get_json_object(c, f"$.{p}[0]"))
-        found.append(F.coalesce(_prefixed(keys, p), F.array().cast("array<string>")))
+        items = F.from_json(F.get_json_object(c, f"$.{p}"), "array<map<string,string>>")
+        keys = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys)))
+        every = F.array(*(F.lit(q) for q in sorted(KNOWN) if q.startswith(f"{p}[].")))
+        found.append(F.when(F.size(items) == 0, every).otherwise(F.coalesce(_prefixed(keys, p), F.array().cast("array<string>"))))
     known = F.array(*(F.lit(p) for p in sorted(KNOWN - {"conv_id", "turn"})))
     print_ = F.sha2(F.array_join(F.array_sort(F.array_intersect(F.concat(*found), known)), "\n"), 256)
     fields = {p.split("[]")[0]: ("array<struct<" + ", ".join(f"`{q.split('.')[1]}`: string" for q in sorted(KNOWN) if q.startswith(f"{p.split('[]')[0]}[].")) + ">>" if "[]" in p else "string") for p in sorted(KNOWN)}
