@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, row_batches, small_batches, text_values
+from millrace.llm.common import cut, row_batches, text_values
 
 SAMPLE = 2000
 SAMPLE_CHARS = 8192
@@ -106,7 +106,6 @@ class Model:
 
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, score."""
-        small_batches(docs.sparkSession)
         d = F.col(f"`{doc_id}`").cast("long").alias("doc_id")
         if self.weights is None:
             return docs.select(d, F.lit(self.prior).alias("score"))
@@ -118,7 +117,6 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learns from rows of ``labels`` (doc_id, label) outside the held-out fold."""
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(f"`{label}`").isNotNull() & ~held_out(F.col("doc_id")))
     known = cut(known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.least(F.min(f"`{label}`"), F.lit(1)).cast("int").alias("y")))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}

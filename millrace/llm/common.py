@@ -16,21 +16,21 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 BATCH_ROWS = 500
-BATCH_BYTES = 16 << 20
-
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        place = _OWN[app]
-    return place
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode; on a cluster an error."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,13 +45,6 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts never meet in one batch of 10,000 rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def fresh(taken: list[str], name: str) -> str:
     """``name``, or a variant of it that no column in ``taken`` has (case-insensitively)."""
     used = {c.lower() for c in taken}
@@ -74,11 +67,16 @@ def text_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
 
 
-def row_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skip empty batches."""
+def row_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` at most, none empty. Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch); this bounds what is worked on at once."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of numbers as they come, without empty ones."""
+    return (batch for batch in batches if batch.num_rows)
 
 
 # Word bytes of the letter-and-digit words: digits, lower-case letters, and every byte of a non-ASCII code point.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fresh, lowered, row_batches, small_batches, text_values, window_hashes, word_table
+from millrace.llm.common import fresh, lowered, row_batches, text_values, window_hashes, word_table
 
 WINDOW = 10
 SHINGLE = 5
@@ -134,7 +134,6 @@ def _matcher(index: Index, ids: list[str], text_at: int, n_columns: int, first:
 def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str, str, str]:
     """``docs`` with three more columns, whose names are returned: number of words, hit ranges (flat starts and ends), item ids as strings."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // BLOCK_BYTES))

@@ -1,19 +1,23 @@
 """Fuzzy line dedup by MinHash.
 
-Lines are normalised (white space runs to one space, trimmed, lower case) and reduced to distinct ones by a
-pre-aggregated minimum. A distinct line's set of SHINGLE-character shingles gets one-permutation MinHash signatures of
-BANDS x ROWS bins; two lines with Jaccard similarity 0.8 share a band with probability 0.998, less
-if they have few distinct shingles, as filled-in bins depend on each other. Buckets of a band with two or
-more lines are candidates. The same set of lines in several bands is looked at once. Before texts are shuffled, long candidates
-are compared by sketches, which count a line's distinct shingles in each of BUCKETS buckets: two lines have no more shingles
-in common than the sum of the lesser counts, so no pair of similarity 0.8 is dropped. For what is left exact Jaccard is computed on the lines' texts, skipping pairs that are already connected. Links are joined up by distributed components, and of each
-component just the first line by (doc_id, line number) is kept.
-
-A bucket with more than BLOCK lines is split into pairs of blocks, so that no task holds it whole and no link is lost.
-
-Edge cases: null text is one blank line; blank lines are never removed; lines shorter than a shingle are one shingle; null
-doc_ids come last; whole rows that repeat are decided alike, so a line that only repeats in them stays in each; long lines
-are shingled whole; an empty table gives no rows.
+Lines are normalised (white space runs to one space, trimmed, lower case); a line is named by a 128-bit digest. Its set of
+SHINGLE-character shingles gets one-permutation MinHash minima in BANDS x ROWS bins, once; two lines with Jaccard similarity
+0.8 share a band with probability 0.99, less if they have few distinct shingles, as filled-in bins depend on each other (a
+test measures it). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, so that a
+bucket's members stream by in order of size; where sizes differ by more than the similarity allows, it is split. Texts of
+lines in buckets with two or more members are then fetched in one more pass over the documents, which a bitmap of candidate
+ids (BITMAP bits, whatever the input) keeps from shuffling most others; exact Jaccard is computed on them, skipping pairs that
+already are connected. Links are joined up by distributed components, and of each component just the first line by (doc_id,
+line number) is kept.
+
+A bucket of more than BLOCK lines is looked at in blocks, each together with PIVOTS first lines of the bucket and the end of
+the block before, which is linear. Where that leaves a bucket's lines in several components, the lines outside its largest
+component are compared with all its blocks, so that no link is lost.
+
+Edge cases: null text is one blank line; blank lines are never removed; lines shorter than a shingle are padded with NUL to
+one; null doc_ids come last; whole rows that repeat are decided alike, so a line that only repeats in them stays in each; long
+lines are shingled whole, in pieces of _CHUNK characters; extra columns pass through ``deduplicated`` unchanged, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,278 +26,391 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACE, cut, mix64, row_batches, small_batches, text_values
+from millrace.llm.common import cut, fresh, mix64, row_batches, text_values, whole_batches
 from millrace.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 12, 5
 SIMILARITY = 0.8
-BLOCK = 512
-# lines of fewer bytes aren't sketched, as their texts are short too
-SKETCHED, BUCKETS = 200, 64
+BLOCK, PIVOTS = 224, 16
+BITMAP = 1 << 25
+SEEN = 200_000
 _BINS = BANDS * ROWS
-_EMPTY = np.uint64((1 << 64) - 1)
-_CHUNK = 1 << 20
-
-
-def shingle_hashes(line: bytes) -> np.ndarray:
-    """64-bit hashes of a line's character shingles, repeats included."""
-    chars = np.frombuffer(line.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    width = min(SHINGLE, max(1, len(chars)))
-    total = np.zeros(max(0, len(chars) - width + 1), np.uint64)
-    for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + chars[k : k + len(total)] + np.uint64(1)
-    return mix64(total)
-
-
-def minima(lines: list[bytes]) -> np.ndarray:
-    """The signature of each line: the least hash in each of _BINS bins."""
-    out = np.full((len(lines), _BINS), _EMPTY, np.uint64)
-    hashes, at, size = [], [], 0
-
-    def put() -> None:
-        h = np.concatenate(hashes)
-        bins = ((h >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
-        np.minimum.at(out.reshape(-1), np.repeat(np.array(at) * _BINS, [len(x) for x in hashes]) + bins.astype(np.int64), h)
-
-    for k, line in enumerate(lines):
-        hashes.append(shingle_hashes(line))
-        at.append(k)
-        size += len(hashes[-1])
-        if size > _CHUNK:
-            put()
-            hashes, at, size = [], [], 0
-    if hashes:
-        put()
+_CHUNK = 1 << 17
+_KEY_BITS = 52
+# a line's size code is the logarithm of its number of distinct shingles; codes of similar lines are this close
+_CODES = 120
+_GAP = int(np.ceil(-np.log(SIMILARITY) * _CODES)) + 2
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def lines_of(text: bytes) -> list[bytes]:
+    """The normalised lines of a text; blank ones are empty."""
+    low = text.lower() if text.isascii() else text.decode().lower().encode()
+    return [b" ".join(x.split()) for x in low.split(b"\n")]
+
+
+def digests(lines: list[bytes]) -> np.ndarray:
+    """128 bits for each line, as two 64-bit numbers."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def key_of(names: np.ndarray) -> np.ndarray:
+    return names[:, 0] >> np.uint64(64 - _KEY_BITS)
+
+
+def _code_points(lines: list[bytes]) -> np.ndarray:
+    """Of all lines, a line feed after each; short lines are padded."""
+    padded = [x if len(x) >= 4 * SHINGLE or (n := len(x.decode())) >= SHINGLE else x + b"\0" * (SHINGLE - n) for x in lines]
+    return np.frombuffer((b"\n".join(padded) + b"\n").decode().encode("utf-32-le"), np.uint32)
+
+
+def _shingles(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each run of SHINGLE code points."""
+    x = points.astype(np.uint64)
+    x += np.uint64(1)
+    n = max(0, len(x) - SHINGLE + 1)
+    h = x[:n].copy()
+    for k in range(1, SHINGLE):
+        h *= _MULT
+        h += x[k : k + n]
+    return mix64(h)
+
+
+def shingle_set(line: bytes) -> np.ndarray:
+    """The distinct shingle hashes of one line, sorted."""
+    points = _code_points([line])[:-1]
+    if len(points) <= _CHUNK:
+        return np.unique(_shingles(points))
+    return np.unique(np.concatenate([np.unique(_shingles(points[k : k + _CHUNK + SHINGLE - 1])) for k in range(0, len(points), _CHUNK)]))
+
+
+def _line_sets(lines: list[bytes]) -> np.ndarray:
+    """Of fewer than 2^16 lines: (line number, 48 bits of the hash) of each distinct shingle, sorted."""
+    points = _code_points(lines)
+    ends = points == 10
+    line = np.cumsum(ends, dtype=np.uint32)
+    hashes = _shingles(points)
+    n = len(hashes)
+    inside = (line[:n] == line[SHINGLE - 1 :]) & ~ends[:n]
+    x = (line[:n][inside].astype(np.uint64) << np.uint64(48)) | (hashes[inside] >> np.uint64(16))
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def minima(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each line in each of _BINS bins, 0 if there is none, and each line's number of distinct shingles."""
+    out, sizes = np.zeros((len(lines), _BINS), np.uint64), np.zeros(len(lines), np.int64)
+    at = 0
+    while at < len(lines):
+        stop, total = at + 1, len(lines[at])
+        while stop < len(lines) and total + len(lines[stop]) < _CHUNK and stop - at < 1 << 15:
+            total += len(lines[stop]) + 1
+            stop += 1
+        # a line of more than a chunk comes alone
+        x = _line_sets(lines[at:stop]) if total < _CHUNK else shingle_set(lines[at]) >> np.uint64(16)
+        line = (x >> np.uint64(48)).astype(np.int64)
+        sizes[at:stop] = np.bincount(line, minlength=stop - at)
+        # sorted by line and hash, whose upper bits are the bin: the first of each bin is its least
+        where = line * _BINS + ((((x >> np.uint64(24)) & np.uint64(0xFFFFFF)) * np.uint64(_BINS)) >> np.uint64(24)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        out[at:stop].reshape(-1)[where[first]] = (x[first] & _LOW) + np.uint64(1)
+        at = stop
+    return out, sizes
+
+
+def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One row of band hashes for each line, and its number of distinct shingles."""
+    out, sizes = minima(lines)
     # an empty bin takes over its right neighbour's value, marked with the distance
     for _ in range(_BINS):
-        empty = out == _EMPTY
-        if not empty.any():
+        rows = np.flatnonzero((out == 0).any(axis=1))
+        if not len(rows):
             break
-        right = np.roll(out, -1, axis=1)
-        out = np.where(empty & (right != _EMPTY), right * np.uint64(3) + np.uint64(0x51ED270B), out)
-    return out
-
-
-def signatures(lines: list[bytes]) -> np.ndarray:
-    """One row of band hashes for each line."""
-    out = minima(lines)
+        part = out[rows]
+        right = np.roll(part, -1, axis=1)
+        out[rows] = np.where((part == 0) & (right != 0), right * np.uint64(3) + np.uint64(0x51ED270B), part)
     bands = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + out[:, r::ROWS])
-    return mix64(bands + np.arange(BANDS, dtype=np.uint64))
+        bands = mix64(bands * _MULT + out[:, r::ROWS])
+    return mix64(bands + np.arange(BANDS, dtype=np.uint64)), sizes
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_batches(batches):
-        bands = signatures(text_values(batch.column(1)))
-        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(keys)], names=["band", "key"])
+def ids_of(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A line's id: its size code, then its key; as a signed number it is never negative."""
+    codes = np.minimum((np.log(np.maximum(sizes, 1)) * _CODES).astype(np.uint64), np.uint64((1 << 63 - _KEY_BITS) - 1))
+    return ((codes << np.uint64(_KEY_BITS)) | key_of(names)).view(np.int64)
 
 
-def named(groups: list[np.ndarray]) -> pa.RecordBatch:
-    """(group, key): each group is named by a hash of its members."""
-    sizes = np.array([len(g) for g in groups])
-    flat = np.concatenate(groups)
-    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    names = mix64(np.add.reduceat(mix64(flat.view(np.uint64)), first) + sizes.astype(np.uint64))
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes).view(np.int64)), pa.array(flat)], names=["group", "key"])
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, id) of each line; lines that the task has seen lately are left out."""
+    seen: set[bytes] = set()
+    for batch in row_batches(batches):
+        new = [x for x in dict.fromkeys(x for t in text_values(batch.column(0)) for x in lines_of(t)) if x and xxhash.xxh3_128_digest(x) not in seen]
+        if not new:
+            continue
+        names = digests(new)
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(map(xxhash.xxh3_128_digest, new))
+        bands, sizes = signatures(new)
+        yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(np.repeat(ids_of(names, sizes), BANDS))], names=["band", "id"])
+
+
+_GROUPS = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("segment", pa.int64()), ("block", pa.int32())])
+
+
+class _Segment:
+    """Groups of one segment, a part of a bucket, from its members in order: all at once, or if there are many, in blocks."""
+
+    def __init__(self, band: int):
+        self.band, self.name, self.n, self.first, self.last, self.rest = band, None, 0, None, None, np.zeros(0, np.int64)
+
+    def put(self, members: np.ndarray, more: bool) -> list[tuple[np.ndarray, int | None, int]]:
+        """(members, segment, block) of groups. Takes whole blocks from ``members``, or all if no ``more`` come; what is left is in ``rest``."""
+        if self.first is None and not more and len(members) <= BLOCK:
+            return [(members, None, 0)] if len(members) > 1 else []
+        out, stop = [], len(members) // BLOCK * BLOCK if more else len(members)
+        for k in range(0, stop, BLOCK):
+            block = members[k : k + BLOCK]
+            if self.first is None:
+                self.first, self.last = block[:PIVOTS], block[:0]
+                self.name = int(mix64((block[:1] ^ np.int64(self.band)).view(np.uint64)).view(np.int64)[0])
+            out.append((np.unique(np.concatenate((self.first, self.last, block))), self.name, self.n))
+            self.last, self.n = block[-PIVOTS:], self.n + 1
+        self.rest = members[stop:]
+        return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, key): (group, key) for bands with several keys; a group is named by its members, or by two blocks of them."""
-    held: tuple[np.ndarray, np.ndarray] | None = None
-
-    def found(band: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(band[1:] != band[:-1]) + 1
-        starts, ends = np.concatenate(([0], new)), np.concatenate((new, [len(band)]))
-        many = ends - starts > 1
-        groups: list[np.ndarray] = []
-        for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            members = np.unique(key[s:e])
-            if len(members) < 2:
-                continue
-            blocks = [members[k : k + BLOCK] for k in range(0, len(members), BLOCK)]
-            groups += [members] if len(blocks) == 1 else [np.concatenate((a, b)) for k, a in enumerate(blocks) for b in blocks[k + 1 :]]
-        if groups:
-            yield named(groups)
+    """Of rows sorted by (band, id): (group, id, segment, block). Groups are named by their members; segments and blocks only of large ones."""
+    found: list[tuple[np.ndarray, int | None, int]] = []
+    segment, ids = None, np.zeros(0, np.int64)
 
-    for batch in row_batches(batches):
-        rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        if held is not None:
-            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-        last = np.flatnonzero(rows[0] != rows[0][-1])
-        at = int(last[-1]) + 1 if len(last) else 0
-        held = tuple(x[at:] for x in rows)
-        if at:
-            yield from found(rows[0][:at], rows[1][:at])
-    if held is not None:
-        yield from found(*held)
-
-
-def sketch_of(line: bytes) -> bytes:
-    """How many distinct shingles fall in each bucket; empty, which fits all, for a short line or if a count is over a byte."""
-    if len(line) < SKETCHED:
-        return b""
-    counts = np.bincount((np.unique(shingle_hashes(line)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sketch) of each line."""
-    for batch in row_batches(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch_of(x) for x in text_values(batch.column(1))], pa.binary())], names=["key", "sketch"])
-
-
-def fitting(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether Jaccard can reach SIMILARITY with ``common`` shingles at most in both of sets of sizes a and b."""
-    return common >= SIMILARITY * (a + b - common)
-
-
-def plausible(keys: np.ndarray, sketches: np.ndarray, fits: np.ndarray) -> list[np.ndarray]:
-    """Clusters of keys that pairs of fitting sketches connect. ``fits``: lines without a sketch."""
-    common = np.zeros((len(keys), len(keys)), np.int32)
-    for k in range(sketches.shape[1]):
-        common += np.minimum(sketches[:, k][:, None], sketches[:, k][None, :])
-    sizes = sketches.sum(axis=1, dtype=np.int32)
-    linked = fitting(common, sizes[:, None], sizes[None, :]) | fits[:, None] | fits[None, :]
-    label = np.arange(len(keys))
-    while True:
-        new = np.where(linked, label[None, :], len(keys)).min(axis=1)
-        new = np.minimum(new, label)
-        if np.array_equal(new, label):
-            break
-        label = new
-    return [keys[label == r] for r in np.unique(label) if (label == r).sum() > 1]
-
-
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (group, key, sketch) sorted by group: (group, key) of plausible clusters."""
-    held: tuple[np.ndarray, ...] | None = None
-
-    def found(group: np.ndarray, key: np.ndarray, sketch: np.ndarray, fits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(group[1:] != group[:-1]) + 1
-        starts, ends = np.concatenate(([0], new)), np.concatenate((new, [len(group)]))
-        pairs = starts[ends - starts == 2]  # the usual group, all of them at once
-        common, sizes = np.minimum(sketch[pairs], sketch[pairs + 1]).sum(axis=1, dtype=np.int32), sketch.sum(axis=1, dtype=np.int32)
-        good = fitting(common, sizes[pairs], sizes[pairs + 1]) | fits[pairs] | fits[pairs + 1]
-        clusters = list(np.stack([key[pairs[good]], key[pairs[good] + 1]], axis=1))
-        for s, e in zip(*(x[ends - starts > 2].tolist() for x in (starts, ends)), strict=True):
-            clusters += plausible(key[s:e], sketch[s:e], fits[s:e])
-        if clusters:
-            yield named(clusters)
+    def full() -> pa.RecordBatch:
+        sizes = np.array([len(g[0]) for g in found])
+        flat = np.concatenate([g[0] for g in found])
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        names = mix64(np.add.reduceat(mix64(flat.view(np.uint64)), first) + sizes.astype(np.uint64)).view(np.int64)
+        of = np.repeat(np.arange(len(found)), sizes)
+        out = [pa.array(names[of]), pa.array(flat), pa.array([g[1] for g in found], pa.int64()).take(pa.array(of)), pa.array([g[2] for g in found], pa.int32()).take(pa.array(of))]
+        found.clear()
+        return pa.RecordBatch.from_arrays(out, schema=_GROUPS)
+
+    for batch in whole_batches(batches):
+        bands, new = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        if segment is None:
+            segment = _Segment(int(bands[0]))
+        else:  # the last segment may go on
+            bands, new = np.concatenate((np.full(len(ids), segment.band), bands)), np.concatenate((ids, new))
+        keep = np.concatenate(([True], (bands[1:] != bands[:-1]) | (new[1:] != new[:-1])))
+        bands, new = bands[keep], new[keep]
+        codes = new >> _KEY_BITS
+        edges = np.flatnonzero((bands[1:] != bands[:-1]) | (codes[1:] - codes[:-1] > _GAP)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.append(edges, len(new))
+        for k in np.flatnonzero((ends - starts > 1) | (starts == 0)).tolist():
+            if k < len(starts) - 1:
+                found += (segment if k == 0 else _Segment(int(bands[starts[k]]))).put(new[starts[k] : ends[k]], False)
+        if len(starts) > 1:
+            segment = _Segment(int(bands[-1]))
+        ids = new[starts[-1] :]
+        if len(ids) > 4 * BLOCK:
+            found += segment.put(ids[:-1], True)
+            ids = np.concatenate((segment.rest, ids[-1:]))
+        if sum(len(g[0]) for g in found) > 5000:
+            yield full()
+    if segment is not None:
+        found += segment.put(ids, False)
+    if found:
+        yield full()
 
-    for batch in row_batches(batches):
-        raw = batch.column(2).to_pylist()
-        fits = np.array([not x for x in raw])
-        sketch = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in raw), np.uint8).reshape(-1, BUCKETS)
-        rows = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)), sketch, fits)
-        if held is not None:
-            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-        last = np.flatnonzero(rows[0] != rows[0][-1])
-        at = int(last[-1]) + 1 if len(last) else 0
-        held = tuple(x[at:] for x in rows)
-        if at:
-            yield from found(*(x[:at] for x in rows))
-    if held is not None:
-        yield from found(*held)
-
-
-def jaccard_links(keys: list[int], lines: list[bytes], least: float = SIMILARITY) -> list[tuple[int, int]]:
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity at least."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= least * (len(a) + len(b) - common)
+
+
+def plausible(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs that may be similar, likely ones first. Sets have no more in common than the lesser counts in each of 64 buckets add up to."""
+    n = len(sets)
+    if n <= 6:
+        return [(i, j) for i in range(n) for j in range(i + 1, n)]
+    sizes = np.array([len(x) for x in sets])
+    counts = np.bincount(np.repeat(np.arange(n) * 64, sizes) + (np.concatenate(sets) & np.uint64(63)).astype(np.int64), minlength=64 * n).reshape(n, 64)
+    common = np.zeros((n, n), np.int64)
+    for k in range(64):
+        common += np.minimum(counts[:, k][:, None], counts[:, k][None, :])
+    union = sizes[:, None] + sizes[None, :] - common
+    i, j = np.nonzero(np.triu(common >= least * union, 1))
+    order = np.argsort(-(common[i, j] / union[i, j]), kind="stable")
+    return list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+
+
+def jaccard_links(names: list, lines: list[bytes], least: float = SIMILARITY) -> list[tuple]:
     """Links that connect what exact Jaccard connects; pairs that already are connected aren't compared."""
-    sets = [np.unique(shingle_hashes(x)) for x in lines]
-    order = sorted(range(len(keys)), key=lambda k: (len(sets[k]), keys[k]))
-    clusters: list[list[int]] = []
-    links = []
-    for k in order:
-        mine, joined = sets[k], None
-        kept = []
-        for cluster in clusters:
-            hit = None
-            for other in reversed(cluster):
-                if len(sets[other]) < least * len(mine):
-                    break
-                both = len(np.intersect1d(mine, sets[other], assume_unique=True))
-                if both >= least * (len(mine) + len(sets[other]) - both):
-                    hit = other
-                    break
-            if hit is None:
-                kept.append(cluster)
-            else:
-                links.append((keys[k], keys[hit]))
-                joined = cluster if joined is None else sorted(joined + cluster, key=lambda j: (len(sets[j]), keys[j]))
-        clusters = [*kept, [*(joined or []), k]]
+    if len(names) < 2:
+        return []
+    sets, label, links = [shingle_set(x) for x in lines], list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i, j in plausible(sets, least):
+        a, b = find(i), find(j)
+        if a != b and similar(sets[i], sets[j], least):
+            label[max(a, b)] = min(a, b)
+            links.append((names[i], names[j]))
     return links
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by group: verified links."""
-    name, keys, lines, out = None, [], [], []
+    """Of rows (group, name, line) sorted by group: verified links."""
+    group, names, lines, out = None, [], [], []
 
     def full() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
         out.clear()
         return made
 
     for batch in row_batches(batches):
-        for group, key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_values(batch.column(2)), strict=True):
-            if group != name:
-                out.extend(jaccard_links(keys, lines))
+        for g, name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_values(batch.column(2)), strict=True):
+            if g != group:
+                out.extend(jaccard_links(names, lines))
                 if len(out) > 5000:
                     yield full()
-                name, keys, lines = group, [], []
-            keys.append(key)
+                group, names, lines = g, [], []
+            names.append(name)
             lines.append(line)
-    out.extend(jaccard_links(keys, lines))
+    out.extend(jaccard_links(names, lines))
     if out:
         yield full()
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """``docs``: doc_id, mark, text. One row per line that isn't blank: doc_id, mark, line_no, norm, key."""
-    lines = docs.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.col("line").rlike(f"[^{SPACE}]"))
-    norm = F.lower(F.trim(F.regexp_replace("line", f"[{SPACE}]+", " ")))
-    return lines.select("doc_id", "mark", "line_no", norm.alias("norm")).withColumn("key", F.xxhash64("norm"))
+def _line_rows(bitmap: np.ndarray):
+    """doc_id, mark, line_no, name and key of each line that isn't blank, and its text if its key is in the bitmap and the task hasn't passed it on lately."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32()), ("name", pa.binary()), ("key", pa.int64()), ("norm", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in row_batches(batches):
+            found = [[(i, x) for i, x in enumerate(lines_of(t)) if x] for t in text_values(batch.column(2))]
+            lines = [x for row in found for _, x in row]
+            if not lines:
+                continue
+            of = pa.array(np.repeat(np.arange(len(found)), [len(row) for row in found]))
+            names = digests(lines)
+            key, raw = key_of(names), names.astype(">u8").tobytes()
+            bit = key & np.uint64(BITMAP - 1)
+            wanted = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+            texts: list[str | None] = [None] * len(lines)
+            for k in np.flatnonzero(wanted).tolist():
+                if (name := raw[16 * k : 16 * k + 16]) not in seen:
+                    seen.add(name)
+                    texts[k] = lines[k].decode()
+            if len(seen) > SEEN:
+                seen.clear()
+            numbers = pa.array([i for row in found for i, _ in row], pa.int32())
+            name = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(lines), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), numbers, name, pa.array(key.view(np.int64)), pa.array(texts, pa.string())], schema=schema)
+
+    return run
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """``keys``: key (long, not negative). A bit for each key modulo BITMAP, BITMAP / 8 bytes in all whatever the number of keys."""
+    bit = F.col("key") % BITMAP + 1
+    made = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, np.uint8)
+    for r in made:
+        data = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["part"] - 1) * len(data) : r["part"] * len(data)] = data
+    return out
+
+
+def _key() -> Column:
+    return F.col("id").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
+
+
+def _verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``groups``: group, key; ``texts``: key, name, norm. Links between names, exact."""
+    rows = groups.join(texts, "key").select("group", "name", "norm")
+    return rows.repartition("group").sortWithinPartitions("group", "name").mapInArrow(_verify, "a binary, b binary")
+
+
+def _across(large: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame | None:
+    """``large``: segment, block, id. Groups (group, key) that compare the lines outside a segment's largest component with all its blocks; None if there are none."""
+    named = large.withColumn("key", _key()).join(texts.select("key", "name"), "key")
+    labelled = cut(named.join(root, F.col("name") == F.col("node"), "left").select("segment", "block", "id", "key", F.coalesce("root", "name").alias("root")))
+    counts = labelled.select("segment", "id", "root").distinct().groupBy("segment", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy(F.col("segment").alias("s")).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("s", "main")
+    rest = cut(labelled.join(main, F.col("segment") == F.col("s")).where(F.col("root") != F.col("main")).groupBy("segment", "id", "key").agg(F.min("block").alias("block")))
+    if rest.isEmpty():
+        return None
+    # blocks are in order of size, and so are the chunks that neighbouring blocks' lines fill
+    filled = rest.groupBy("segment", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = rest.join(filled.select("segment", "block", F.floor(before / BLOCK).alias("chunk")), ["segment", "block"]).select("segment", "id", "key", "chunk")
+
+    def ranges(df: DataFrame, of: str) -> DataFrame:
+        return df.groupBy("segment", of).agg(F.shiftright(F.min("id"), _KEY_BITS).alias(f"{of}_low"), F.shiftright(F.max("id"), _KEY_BITS).alias(f"{of}_high"))
+
+    near = (F.col("chunk_low") <= F.col("block_high") + _GAP) & (F.col("block_low") <= F.col("chunk_high") + _GAP)
+    pairs = cut(ranges(rest, "chunk").join(ranges(labelled, "block"), "segment").where(near).select("segment", "chunk", "block", F.xxhash64("segment", "chunk", "block").alias("group")))
+    return pairs.join(rest, ["segment", "chunk"]).select("group", "key").union(pairs.join(labelled, ["segment", "block"]).select("group", "key")).distinct()
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """``lines``: key, norm. node, root for each line that is linked to another."""
-    distinct = lines.groupBy("key").agg(F.min("norm").alias("norm"))
-    bands = distinct.mapInArrow(_bands, "band long, key long")
-    groups = bands.repartition("band").sortWithinPartitions("band").mapInArrow(_groups, "group long, key long").distinct()
-    sketches = distinct.join(groups.select("key").distinct(), "key", "left_semi").mapInArrow(_sketches, "key long, sketch binary")
-    sketched = groups.join(sketches, "key").select("group", "key", "sketch").repartition("group").sortWithinPartitions("group", "key")
-    left = sketched.mapInArrow(_sift, "group long, key long").distinct()
-    texts = distinct.join(left, "key").select("group", "key", "norm")
-    links = texts.repartition("group").sortWithinPartitions("group").mapInArrow(_verify, "a long, b long")
-    return components(links)
+def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs``: doc_id, mark, text. The lines that aren't blank (doc_id, mark, line_no, name), and for those that are linked to another: node (the name), root."""
+    bands = docs.select("text").mapInArrow(_bands, "band long, id long").repartition("band").sortWithinPartitions("band", "id")
+    groups = cut(bands.mapInArrow(_groups, "group long, id long, segment long, block int").distinct())
+    keyed = groups.select("group", _key().alias("key")).distinct()
+    rows = cut(docs.select("doc_id", "mark", "text").mapInArrow(_line_rows(bitmap_of(keyed)), "doc_id long, mark long, line_no int, name binary, key long, norm string"))
+    texts = rows.where(F.col("norm").isNotNull()).select("key", "name", "norm").dropDuplicates(["key", "name"])
+    large = groups.where(F.col("segment").isNotNull()).select("segment", "block", "id").distinct()
+    links = cut(_verified(keyed, texts))
+    root = components(links)
+    if not large.isEmpty():
+        more = _across(large, texts, root)
+        if more is not None:
+            root = components(links.union(_verified(more, texts)))
+    return rows.select("doc_id", "mark", "line_no", "name"), root
 
 
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, mark, n_lines, removed (numbers of removed lines from 0, ascending)."""
-    small_batches(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("mark"), t.alias("text"))
-    lines = line_rows(rows)
-    where = cut(lines.select("doc_id", "mark", "line_no", "key"))
-    root = similar_lines(lines.select("key", "norm"))
-    named = where.join(root, where["key"] == root["node"], "left").select("doc_id", "mark", "line_no", F.coalesce("root", "key").alias("root"))
-    named = cut(named)
+    lines, root = similar_lines(rows)
+    # only lines that are repeated or linked may go
+    repeated = lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("node"), F.col("name").alias("root"))
+    concerned = repeated.join(root, "node", "left_anti").union(root.select("node", "root"))
+    named = cut(lines.join(concerned, F.col("name") == F.col("node")).select("doc_id", "mark", "line_no", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
-    first = named.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    first = named.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("first"))
     late = named.join(first, F.col("root") == F.col("r")).where(order != F.col("first"))
     gone = late.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("k")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    sizes = rows.select("doc_id", "mark", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    sizes = rows.select("doc_id", "mark", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     return sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k")), "left").select("doc_id", "mark", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with removed lines taken out of the text; other columns unchanged."""
-    gone = decisions(docs, doc_id, text).where(F.size("removed") > 0).dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__k"), F.col("removed").alias("__removed"))
+    d, k, r = (fresh(docs.columns, f"__{x}") for x in ("d", "k", "removed"))
+    gone = decisions(docs, doc_id, text).where(F.size("removed") > 0).dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias(d), F.col("mark").alias(k), F.col("removed").alias(r))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(t) == F.col("__k")), "left")
-    kept = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.select(*(F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    joined = docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(t) == F.col(k)), "left")
+    kept = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains(r, i)), "\n")
+    return joined.select(*(F.when(F.col(r).isNotNull(), kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lowered, row_batches, small_batches, text_values
+from millrace.llm.common import cut, lowered, row_batches, text_values
 from millrace.llm.components import components
 
 SHINGLE = 3
@@ -61,7 +61,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, mark (a hash of the text), fp (the fingerprint as a signed long)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("d"), F.xxhash64(f"`{text}`").alias("m"))
     return cut(rows.mapInArrow(_fingerprints, "doc_id long, mark long, fp long"))
 
@@ -195,12 +194,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints = fingerprints(docs, doc_id, text)
     # per distinct fingerprint, its least document; null ids come last
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("keeper")))
-    spark = docs.sparkSession
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")  # three longs a row
     balls = variants(least).repartition("which", "variant").sortWithinPartitions("which", "variant")
     links = cut(balls.mapInArrow(_links, "a long, b long"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     root = components(links)
     rooted = least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id", "keeper")
     heads = rooted.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"), F.min("keeper").alias("keeper"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, mix64, row_batches, small_batches, text_values, window_hashes, word_table
+from millrace.llm.common import cut, mix64, row_batches, text_values, window_hashes, word_table
 
 WINDOW = 50
 MINIMISER = 8
@@ -204,7 +204,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").alias("text"))
     return rows.join(cut(covered(rows)), (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("k")), "left")
 

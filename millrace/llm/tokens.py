@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, new_folder, row_batches, small_batches, text_values
+from millrace.llm.common import cut, new_folder, row_batches, text_values
 from millrace.llm.files import open_read, open_write
 
 MAGIC = b"MRPLANE1"
@@ -237,7 +237,6 @@ def _writer(vocabulary: str, folder: str, end_id: int, block: int, bits: bool) -
 def write_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = END_ID, block: int = BLOCK, bits: bool = False) -> DataFrame:
     """Writes plane files; the manifest: part, path, n_docs, n_ids, base (ids in earlier files)."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = cut(ordered.mapInArrow(_writer(vocabulary, folder or new_folder(spark, "tokens"), end_id, block, bits), "part int, path string, n_docs long, n_ids long"))

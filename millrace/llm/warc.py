@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, new_folder, row_batches, small_batches, text_values
+from millrace.llm.common import cut, new_folder, row_batches, text_values
 from millrace.llm.files import open_stream, open_write
 
 MIN_REVISIT = 100
@@ -147,7 +147,6 @@ def _writer(folder: str):
 def write_pages(pages: DataFrame, folder: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes archives; the manifest: path, n_records."""
     spark = pages.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), text.alias("html"), F.octet_length(text).cast("long").alias("size"), F.sha2(text.cast("binary"), 256).alias("digest"))
     # only payloads that occur twice or more take part in the join; copies are counted before they are shuffled

@@ -290,36 +290,6 @@ def test_fuzzy_lines(spark):
     same([(r["doc_id"], r["text"]) for r in lines.deduplicated(df).collect()], [(r[0], left[r[0], r[1]]) for r in data])
 
 
-def test_line_groups_in_blocks(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(lines, "BLOCK", 4)
-    keys = np.arange(10)
-    out = list(lines._groups(iter([pa.RecordBatch.from_arrays([pa.array(np.full(10, 7)), pa.array(keys)], names=["band", "key"])])))
-    groups = defaultdict(set)
-    for b in out:
-        for g, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            groups[g].add(k)
-    assert {frozenset((a, b)) for g in groups.values() for a in g for b in g if a != b} == {frozenset((a, b)) for a in range(10) for b in range(10) if a != b}
-    assert max(map(len, groups.values())) <= 8
-
-
-def test_jaccard_links_connect_like_all_pairs():
-    rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefgh") for _ in range(50)) for _ in range(6)]
-    data = [(k, "".join(rng.choice("xy") if rng.random() < 0.03 else c for c in rng.choice(base)).encode()) for k in range(60)]
-
-    def classes(links):
-        label = {k: k for k, _ in data}
-        for _ in data:
-            for a, b in links:
-                label[a] = label[b] = min(label[a], label[b])
-        return label
-
-    every = [(a, b) for a, x in data for b, y in data if a < b and jaccard(x.decode(), y.decode()) >= lines.SIMILARITY]
-    assert classes(every) == classes(lines.jaccard_links([k for k, _ in data], [x for _, x in data]))
-
-
 # 6
 
 
