@@ -53,6 +53,28 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def row_mark(df: DataFrame) -> Column:
+    """A hash of the whole row; maps have none."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))
+
+
+def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of a long column modulo ``bits``, a power of two: bits / 8 bytes in all, whatever the number of rows."""
+    bit = F.pmod(F.col(column), F.lit(bits)) + 1
+    made = rows.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in made:
+        data = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["part"] - 1) * len(data) : r["part"] * len(data)] = data
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned 64-bit ``values`` has its bit set."""
+    bit = values & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
 def n_space_words(text: Column) -> Column:
     """Number of maximal runs without ASCII white space; null gives 0."""
     text = F.coalesce(text, F.lit(""))

@@ -1,12 +1,13 @@
-"""Connected components of a graph of 64-bit nodes by alternating large-star and small-star steps.
+"""Connected components of a graph by alternating large-star and small-star steps. Nodes are of any type that has an order.
 
-All joins and sums are distributed; each round is checkpointed. A hub's links meet in joins, which Spark can split, and in
-pre-aggregated minima, never as one list in a task.
+All joins and sums are distributed; each round is written to the shared folder, and a digest of its links, by which the end is
+known, is taken while it is written. A hub's links meet in joins, which Spark can split, and in pre-aggregated minima, never
+as one list in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
@@ -30,12 +31,13 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links``: a, b (long, in any order). One row per node of a link: node, root (the least node of its component)."""
+    """``links``: a, b (in any order). One row per node of a link: node, root (the least node of its component)."""
     links = cut(links.where("a <> b").select("a", "b").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        links = cut(_small(_large(links)))
-        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b", "a") % 1_000_003).cast("long"))).first())
+        seen = Observation()
+        links = cut(_small(_large(links)).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("s")))
+        now = tuple(sorted(seen.get.items()))
         if now == mark:
             break
         mark = now

@@ -2,8 +2,7 @@
 
 Lines are normalised (white space runs to one space, trimmed, lower case); a line is named by a 128-bit digest. Its set of
 SHINGLE-character shingles gets one-permutation MinHash minima in BANDS x ROWS bins, once; two lines with Jaccard similarity
-0.8 share a band with probability 0.99, less if they have few distinct shingles, as filled-in bins depend on each other (a
-test measures it). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, so that a
+0.8 share a band with probability 0.97, at 0.85 with 0.999 (a test measures it, with few distinct shingles too). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, so that a
 bucket's members stream by in order of size; where sizes differ by more than the similarity allows, it is split. Texts of
 lines in buckets with two or more members are then fetched in one more pass over the documents, which a bitmap of candidate
 ids (BITMAP bits, whatever the input) keeps from shuffling most others; exact Jaccard is computed on them, skipping pairs that
@@ -11,8 +10,8 @@ already are connected. Links are joined up by distributed components, and of eac
 line number) is kept.
 
 A bucket of more than BLOCK lines is looked at in blocks, each together with PIVOTS first lines of the bucket and the end of
-the block before, which is linear. Where that leaves a bucket's lines in several components, the lines outside its largest
-component are compared with all its blocks, so that no link is lost.
+the block before, which is linear. Where that leaves a bucket's lines in several components, the lines outside the largest are
+compared with all lines of buckets of that component whose sizes allow it, again in blocks, so that no link is lost.
 
 Edge cases: null text is one blank line; blank lines are never removed; lines shorter than a shingle are padded with NUL to
 one; null doc_ids come last; whole rows that repeat are decided alike, so a line that only repeats in them stays in each; long
@@ -30,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh, mix64, row_batches, text_values, whole_batches
+from millrace.llm.common import bitmap_of, cut, fresh, in_bitmap, mix64, row_batches, text_values, whole_batches
 from millrace.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 12, 5
+BANDS, ROWS = 12, 6
 SIMILARITY = 0.8
 BLOCK, PIVOTS = 224, 16
 BITMAP = 1 << 25
@@ -46,7 +45,9 @@ _KEY_BITS = 52
 _CODES = 120
 _GAP = int(np.ceil(-np.log(SIMILARITY) * _CODES)) + 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 48) - 1)
+# shingle hashes that are sorted together with line numbers are cut to these bits
+_HASH_BITS = 52
+_LOW = np.uint64((1 << _HASH_BITS) - 1)
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -71,7 +72,7 @@ def _code_points(lines: list[bytes]) -> np.ndarray:
 
 
 def _shingles(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each run of SHINGLE code points."""
+    """A hash of _HASH_BITS bits for each run of SHINGLE code points."""
     x = points.astype(np.uint64)
     x += np.uint64(1)
     n = max(0, len(x) - SHINGLE + 1)
@@ -79,48 +80,61 @@ def _shingles(points: np.ndarray) -> np.ndarray:
     for k in range(1, SHINGLE):
         h *= _MULT
         h += x[k : k + n]
-    return mix64(h)
+    h = mix64(h)
+    h >>= np.uint64(64 - _HASH_BITS)
+    return h
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    """The distinct shingle hashes of one line, sorted."""
+def _long_set(line: bytes) -> np.ndarray:
+    """The distinct shingle hashes of one line, sorted, a piece of _CHUNK characters at a time."""
     points = _code_points([line])[:-1]
-    if len(points) <= _CHUNK:
-        return np.unique(_shingles(points))
     return np.unique(np.concatenate([np.unique(_shingles(points[k : k + _CHUNK + SHINGLE - 1])) for k in range(0, len(points), _CHUNK)]))
 
 
-def _line_sets(lines: list[bytes]) -> np.ndarray:
-    """Of fewer than 2^16 lines: (line number, 48 bits of the hash) of each distinct shingle, sorted."""
-    points = _code_points(lines)
-    ends = points == 10
-    line = np.cumsum(ends, dtype=np.uint32)
-    hashes = _shingles(points)
-    n = len(hashes)
-    inside = (line[:n] == line[SHINGLE - 1 :]) & ~ends[:n]
-    x = (line[:n][inside].astype(np.uint64) << np.uint64(48)) | (hashes[inside] >> np.uint64(16))
-    x.sort()
-    return x[np.concatenate(([True], x[1:] != x[:-1]))]
-
-
-def minima(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash of each line in each of _BINS bins, 0 if there is none, and each line's number of distinct shingles."""
-    out, sizes = np.zeros((len(lines), _BINS), np.uint64), np.zeros(len(lines), np.int64)
+def _line_sets(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For runs of lines, at to stop: (line number from at, hash) of each distinct shingle as one number, sorted. A line of more than _CHUNK bytes comes alone."""
     at = 0
     while at < len(lines):
         stop, total = at + 1, len(lines[at])
-        while stop < len(lines) and total + len(lines[stop]) < _CHUNK and stop - at < 1 << 15:
+        while stop < len(lines) and total + len(lines[stop]) < _CHUNK and stop - at < 1 << 64 - _HASH_BITS:
             total += len(lines[stop]) + 1
             stop += 1
-        # a line of more than a chunk comes alone
-        x = _line_sets(lines[at:stop]) if total < _CHUNK else shingle_set(lines[at]) >> np.uint64(16)
-        line = (x >> np.uint64(48)).astype(np.int64)
+        if total >= _CHUNK:
+            yield at, stop, _long_set(lines[at])
+        else:
+            points = _code_points(lines[at:stop])
+            ends = points == 10
+            line = np.cumsum(ends, dtype=np.uint32)
+            hashes = _shingles(points)
+            n = len(hashes)
+            inside = (line[:n] == line[SHINGLE - 1 :]) & ~ends[:n]
+            x = line[:n][inside].astype(np.uint64)
+            x <<= np.uint64(_HASH_BITS)
+            x |= hashes[inside]
+            x.sort()
+            yield at, stop, x[np.concatenate(([True], x[1:] != x[:-1]))]
+        at = stop
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, sorted."""
+    out = []
+    for at, stop, x in _line_sets(lines):
+        edges = np.searchsorted(x, np.arange(1, stop - at, dtype=np.uint64) << np.uint64(_HASH_BITS))
+        out += np.split(x & _LOW, edges)
+    return out
+
+
+def minima(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each line in each of _BINS bins, 0 if there is none, and each line's number of distinct shingles."""
+    out, sizes = np.zeros((len(lines), _BINS), np.uint64), np.zeros(len(lines), np.int64)
+    for at, stop, x in _line_sets(lines):
+        line = (x >> np.uint64(_HASH_BITS)).astype(np.int64)
         sizes[at:stop] = np.bincount(line, minlength=stop - at)
         # sorted by line and hash, whose upper bits are the bin: the first of each bin is its least
-        where = line * _BINS + ((((x >> np.uint64(24)) & np.uint64(0xFFFFFF)) * np.uint64(_BINS)) >> np.uint64(24)).astype(np.int64)
+        where = line * _BINS + ((((x >> np.uint64(_HASH_BITS - 24)) & np.uint64(0xFFFFFF)) * np.uint64(_BINS)) >> np.uint64(24)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
         out[at:stop].reshape(-1)[where[first]] = (x[first] & _LOW) + np.uint64(1)
-        at = stop
     return out, sizes
 
 
@@ -162,34 +176,34 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(np.repeat(ids_of(names, sizes), BANDS))], names=["band", "id"])
 
 
-_GROUPS = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("segment", pa.int64()), ("block", pa.int32())])
+_GROUPS = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("segment", pa.int64())])
 
 
 class _Segment:
     """Groups of one segment, a part of a bucket, from its members in order: all at once, or if there are many, in blocks."""
 
     def __init__(self, band: int):
-        self.band, self.name, self.n, self.first, self.last, self.rest = band, None, 0, None, None, np.zeros(0, np.int64)
+        self.band, self.name, self.first, self.last, self.rest = band, None, None, None, np.zeros(0, np.int64)
 
-    def put(self, members: np.ndarray, more: bool) -> list[tuple[np.ndarray, int | None, int]]:
-        """(members, segment, block) of groups. Takes whole blocks from ``members``, or all if no ``more`` come; what is left is in ``rest``."""
+    def put(self, members: np.ndarray, more: bool) -> list[tuple[np.ndarray, int | None]]:
+        """(members, segment) of groups. Takes whole blocks from ``members``, or all if no ``more`` come; what is left is in ``rest``."""
         if self.first is None and not more and len(members) <= BLOCK:
-            return [(members, None, 0)] if len(members) > 1 else []
+            return [(members, None)] if len(members) > 1 else []
         out, stop = [], len(members) // BLOCK * BLOCK if more else len(members)
         for k in range(0, stop, BLOCK):
             block = members[k : k + BLOCK]
             if self.first is None:
                 self.first, self.last = block[:PIVOTS], block[:0]
                 self.name = int(mix64((block[:1] ^ np.int64(self.band)).view(np.uint64)).view(np.int64)[0])
-            out.append((np.unique(np.concatenate((self.first, self.last, block))), self.name, self.n))
-            self.last, self.n = block[-PIVOTS:], self.n + 1
+            out.append((np.unique(np.concatenate((self.first, self.last, block))), self.name))
+            self.last = block[-PIVOTS:]
         self.rest = members[stop:]
         return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, id): (group, id, segment, block). Groups are named by their members; segments and blocks only of large ones."""
-    found: list[tuple[np.ndarray, int | None, int]] = []
+    """Of rows sorted by (band, id): (group, id, segment). Groups are named by their members; only large segments have names."""
+    found: list[tuple[np.ndarray, int | None]] = []
     segment, ids = None, np.zeros(0, np.int64)
 
     def full() -> pa.RecordBatch:
@@ -198,7 +212,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         names = mix64(np.add.reduceat(mix64(flat.view(np.uint64)), first) + sizes.astype(np.uint64)).view(np.int64)
         of = np.repeat(np.arange(len(found)), sizes)
-        out = [pa.array(names[of]), pa.array(flat), pa.array([g[1] for g in found], pa.int64()).take(pa.array(of)), pa.array([g[2] for g in found], pa.int32()).take(pa.array(of))]
+        out = [pa.array(names[of]), pa.array(flat), pa.array([g[1] for g in found], pa.int64()).take(pa.array(of))]
         found.clear()
         return pa.RecordBatch.from_arrays(out, schema=_GROUPS)
 
@@ -256,11 +270,11 @@ def plausible(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return list(zip(i[order].tolist(), j[order].tolist(), strict=True))
 
 
-def jaccard_links(names: list, lines: list[bytes], least: float = SIMILARITY) -> list[tuple]:
-    """Links that connect what exact Jaccard connects; pairs that already are connected aren't compared."""
-    if len(names) < 2:
-        return []
-    sets, label, links = [shingle_set(x) for x in lines], list(range(len(names))), []
+def jaccard_links(names: list, sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple]:
+    """Links that connect what exact Jaccard connects, from each line to the first of its component; pairs that already are connected aren't compared."""
+    if len(names) == 2:
+        return [(names[1], names[0])] if similar(*sets, least) else []
+    label = list(range(len(names)))
 
     def find(x: int) -> int:
         while label[x] != x:
@@ -272,31 +286,34 @@ def jaccard_links(names: list, lines: list[bytes], least: float = SIMILARITY) ->
         a, b = find(i), find(j)
         if a != b and similar(sets[i], sets[j], least):
             label[max(a, b)] = min(a, b)
-            links.append((names[i], names[j]))
-    return links
+    return [(name, names[find(k)]) for k, name in enumerate(names) if find(k) != k]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (group, name, line) sorted by group: verified links."""
-    group, names, lines, out = None, [], [], []
-
-    def full() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
-        out.clear()
-        return made
+    groups, names, lines = [], [], []
+
+    def settle(stop: int) -> pa.RecordBatch | None:
+        """Links of the groups among the first ``stop`` rows, which then go."""
+        out, sets = [], shingle_sets(lines[:stop])
+        edges = [0, *(k for k in range(1, stop) if groups[k] != groups[k - 1]), stop]
+        for a, b in zip(edges, edges[1:]):
+            if b - a > 1:
+                out += jaccard_links(names[a:b], sets[a:b])
+        del groups[:stop], names[:stop], lines[:stop]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"]) if out else None
 
     for batch in row_batches(batches):
-        for g, name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_values(batch.column(2)), strict=True):
-            if g != group:
-                out.extend(jaccard_links(names, lines))
-                if len(out) > 5000:
-                    yield full()
-                group, names, lines = g, [], []
-            names.append(name)
-            lines.append(line)
-    out.extend(jaccard_links(names, lines))
-    if out:
-        yield full()
+        groups += batch.column(0).to_pylist()
+        names += batch.column(1).to_pylist()
+        lines += text_values(batch.column(2))
+        stop = len(groups)
+        while stop and groups[stop - 1] == groups[-1]:
+            stop -= 1
+        if stop and (links := settle(stop)) is not None:
+            yield links
+    if groups and (links := settle(len(groups))) is not None:
+        yield links
 
 
 def _line_rows(bitmap: np.ndarray):
@@ -313,10 +330,8 @@ def _line_rows(bitmap: np.ndarray):
             of = pa.array(np.repeat(np.arange(len(found)), [len(row) for row in found]))
             names = digests(lines)
             key, raw = key_of(names), names.astype(">u8").tobytes()
-            bit = key & np.uint64(BITMAP - 1)
-            wanted = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
             texts: list[str | None] = [None] * len(lines)
-            for k in np.flatnonzero(wanted).tolist():
+            for k in np.flatnonzero(in_bitmap(bitmap, key)).tolist():
                 if (name := raw[16 * k : 16 * k + 16]) not in seen:
                     seen.add(name)
                     texts[k] = lines[k].decode()
@@ -329,17 +344,6 @@ def _line_rows(bitmap: np.ndarray):
     return run
 
 
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """``keys``: key (long, not negative). A bit for each key modulo BITMAP, BITMAP / 8 bytes in all whatever the number of keys."""
-    bit = F.col("key") % BITMAP + 1
-    made = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(BITMAP // 8, np.uint8)
-    for r in made:
-        data = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["part"] - 1) * len(data) : r["part"] * len(data)] = data
-    return out
-
-
 def _key() -> Column:
     return F.col("id").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
 
@@ -350,42 +354,51 @@ def _verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "name").mapInArrow(_verify, "a binary, b binary")
 
 
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """``members`` (cluster, id, key) with a block number in order of size, for 2 x BLOCK lines at most, and the block's least and greatest size codes."""
+    code = F.shiftright("id", _KEY_BITS)
+    counts = members.groupBy("cluster", code.alias("code")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("cluster", "code", F.floor(before / BLOCK).alias("at"), F.ceil(F.col("n") / BLOCK).alias("parts"))
+    number = F.struct("at", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    return members.withColumn("code", code).join(counts, ["cluster", "code"]).select("cluster", "id", "key", "code", number.alias(name))
+
+
 def _across(large: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame | None:
-    """``large``: segment, block, id. Groups (group, key) that compare the lines outside a segment's largest component with all its blocks; None if there are none."""
+    """``large``: segment, id. Groups (group, key) that compare the lines outside a segment's largest component with all lines of its segments; None if there are none."""
     named = large.withColumn("key", _key()).join(texts.select("key", "name"), "key")
-    labelled = cut(named.join(root, F.col("name") == F.col("node"), "left").select("segment", "block", "id", "key", F.coalesce("root", "name").alias("root")))
-    counts = labelled.select("segment", "id", "root").distinct().groupBy("segment", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy(F.col("segment").alias("s")).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("s", "main")
-    rest = cut(labelled.join(main, F.col("segment") == F.col("s")).where(F.col("root") != F.col("main")).groupBy("segment", "id", "key").agg(F.min("block").alias("block")))
+    labelled = cut(named.join(root, F.col("name") == F.col("node"), "left").select("segment", "id", "key", F.coalesce("root", "name").alias("root")))
+    counts = labelled.groupBy("segment", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy(F.col("segment").alias("s")).agg(F.max(F.struct("n", "root"))["root"].alias("cluster"), F.count("*").alias("roots")).where("roots > 1").select("s", "cluster")
+    # one large component has segments in several bands: they are looked at together
+    members = cut(labelled.join(main, F.col("segment") == F.col("s")).select("cluster", "id", "key", "root").distinct())
+    rest = members.where(F.col("root") != F.col("cluster")).select("cluster", "id", "key").distinct()
     if rest.isEmpty():
         return None
-    # blocks are in order of size, and so are the chunks that neighbouring blocks' lines fill
-    filled = rest.groupBy("segment", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = rest.join(filled.select("segment", "block", F.floor(before / BLOCK).alias("chunk")), ["segment", "block"]).select("segment", "id", "key", "chunk")
+    rest, blocks = cut(_blocks(rest, "chunk")), cut(_blocks(members.select("cluster", "id", "key").distinct(), "block"))
 
     def ranges(df: DataFrame, of: str) -> DataFrame:
-        return df.groupBy("segment", of).agg(F.shiftright(F.min("id"), _KEY_BITS).alias(f"{of}_low"), F.shiftright(F.max("id"), _KEY_BITS).alias(f"{of}_high"))
+        return df.groupBy("cluster", of).agg(F.min("code").alias(f"{of}_low"), F.max("code").alias(f"{of}_high"))
 
     near = (F.col("chunk_low") <= F.col("block_high") + _GAP) & (F.col("block_low") <= F.col("chunk_high") + _GAP)
-    pairs = cut(ranges(rest, "chunk").join(ranges(labelled, "block"), "segment").where(near).select("segment", "chunk", "block", F.xxhash64("segment", "chunk", "block").alias("group")))
-    return pairs.join(rest, ["segment", "chunk"]).select("group", "key").union(pairs.join(labelled, ["segment", "block"]).select("group", "key")).distinct()
+    pairs = cut(ranges(rest, "chunk").join(ranges(blocks, "block"), "cluster").where(near).select("cluster", "chunk", "block", F.xxhash64("cluster", "chunk", "block").alias("group")))
+    return pairs.join(rest, ["cluster", "chunk"]).select("group", "key").union(pairs.join(blocks, ["cluster", "block"]).select("group", "key")).distinct()
 
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs``: doc_id, mark, text. The lines that aren't blank (doc_id, mark, line_no, name), and for those that are linked to another: node (the name), root."""
     bands = docs.select("text").mapInArrow(_bands, "band long, id long").repartition("band").sortWithinPartitions("band", "id")
-    groups = cut(bands.mapInArrow(_groups, "group long, id long, segment long, block int").distinct())
+    groups = cut(bands.mapInArrow(_groups, "group long, id long, segment long").distinct())
     keyed = groups.select("group", _key().alias("key")).distinct()
-    rows = cut(docs.select("doc_id", "mark", "text").mapInArrow(_line_rows(bitmap_of(keyed)), "doc_id long, mark long, line_no int, name binary, key long, norm string"))
+    rows = cut(docs.select("doc_id", "mark", "text").mapInArrow(_line_rows(bitmap_of(keyed, "key", BITMAP)), "doc_id long, mark long, line_no int, name binary, key long, norm string"))
     texts = rows.where(F.col("norm").isNotNull()).select("key", "name", "norm").dropDuplicates(["key", "name"])
-    large = groups.where(F.col("segment").isNotNull()).select("segment", "block", "id").distinct()
+    large = groups.where(F.col("segment").isNotNull()).select("segment", "id").distinct()
     links = cut(_verified(keyed, texts))
     root = components(links)
     if not large.isEmpty():
         more = _across(large, texts, root)
         if more is not None:
-            root = components(links.union(_verified(more, texts)))
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(more, texts)))
     return rows.select("doc_id", "mark", "line_no", "name"), root
 
 

@@ -49,7 +49,7 @@ def close_pair(rng, alphabet):
 
 
 def test_recall_of_bands():
-    """Pairs just above the threshold meet in a band, short and long lines alike. Measured: 0.999 of 2,000 pairs."""
+    """Pairs just above the threshold meet in a band, short and long lines alike. Measured: 0.998 of 2,000 pairs."""
     rng = random.Random(3)
     pairs = [close_pair(rng, alphabet) for alphabet in ("abcdefghijklmnopqrstuvwxyz ", "的一是在不了有和人这中大为上个国我以要他") for _ in range(1000)]
     bands, sizes = lines.signatures([x.encode() for p in pairs for x in p])
@@ -68,8 +68,8 @@ def groups_of(rows, step):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + step]], pa.int64()) for k in range(2)], names=["band", "id"]) for i in range(0, len(rows), step)]
     out = defaultdict(set)
     for b in lines._groups(iter(batches)):
-        for group, key, segment, block in zip(*(c.to_pylist() for c in b.columns)):
-            out[group, segment, block].add(key)
+        for group, key, segment in zip(*(c.to_pylist() for c in b.columns)):
+            out[group, segment].add(key)
     return out
 
 
@@ -80,10 +80,10 @@ def test_groups(monkeypatch, step):
     at = lambda code, key: code << lines._KEY_BITS | key
     rows = [(1, at(5, k)) for k in range(3)] + [(1, at(5, 1))] + [(1, at(5 + lines._GAP + 1, k)) for k in (7, 8)] + [(2, at(1, 1))] + [(3, at(9, k)) for k in range(100)] + [(4, at(3, k)) for k in range(8)]
     out = groups_of(rows, step)
-    small = {frozenset(v) for (_, segment, _), v in out.items() if segment is None}
+    small = {frozenset(v) for (_, segment), v in out.items() if segment is None}
     assert small == {frozenset(at(5, k) for k in range(3)), frozenset(at(5 + lines._GAP + 1, k) for k in (7, 8)), frozenset(at(3, k) for k in range(8))}
-    large = [v for (_, segment, _), v in out.items() if segment is not None]
-    assert len({segment for _, segment, _ in out} - {None}) == 1 and max(map(len, large)) <= 12
+    large = [v for (_, segment), v in out.items() if segment is not None]
+    assert len({segment for _, segment in out} - {None}) == 1 and max(map(len, large)) <= 12
     assert set().union(*large) == {at(9, k) for k in range(100)}
     assert all({at(9, 0), at(9, 1)} <= v for v in large)
     assert sum(map(len, large)) < 200  # linear
@@ -95,15 +95,16 @@ def test_jaccard_links_connect_like_all_pairs():
     data = [(k, "".join(rng.choice("xy") if rng.random() < 0.03 else c for c in rng.choice(base)).encode()) for k in range(90)]
     data = [(k, x) for k, x in data if x]
     every = [(a, b) for a, x in data for b, y in data if a < b and (x == y or jaccard(x.decode(), y.decode()) >= lines.SIMILARITY)]
-    assert classes([k for k, _ in data], every) == classes([k for k, _ in data], lines.jaccard_links([k for k, _ in data], [x for _, x in data]))
+    assert classes([k for k, _ in data], every) == classes([k for k, _ in data], lines.jaccard_links([k for k, _ in data], lines.shingle_sets([x for _, x in data])))
 
 
 def test_long_lines_are_shingled_whole(monkeypatch):
     rng = random.Random(8)
     line = "".join(rng.choice("abcdé") for _ in range(5000)).encode()
-    whole, (least, sizes) = lines.shingle_set(line), lines.minima([line, b"short one", line])
+    many = [line, b"short one", line, b"x", line.decode()[:100].encode(), line.decode()[:7].encode()]
+    whole, (least, sizes) = lines.shingle_sets(many), lines.minima([line, b"short one", line])
     monkeypatch.setattr(lines, "_CHUNK", 700)
-    assert np.array_equal(lines.shingle_set(line), whole)
+    assert all(np.array_equal(a, b) for a, b in zip(lines.shingle_sets(many), whole, strict=True))
     again, more = lines.minima([line, b"short one", line])
     assert np.array_equal(again, least) and np.array_equal(sizes, more)
 
