@@ -1,184 +1,173 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 Every benchmark item becomes windows of WINDOW consecutive words (a shorter item is one window), every window a set of
-positioned word shingles. Containment must be exact, so one shingle of a window is a necessary prefix: the rarest one, by
-a count over all documents. Documents' shingles are joined with those prefixes only; the position of the hit fixes where
-the window would start, bounds on that start and the document's length drop what can't fit, and what is left is verified
-word for word.
+positioned word shingles. Containment must be exact, so one shingle of a window is a necessary prefix: the rarest one, by a
+count over all documents. Documents' shingles are joined with those prefixes; the position of the hit in the window and in the
+document fixes where the window would start, bounds on that start and on the document's length drop what can't fit, and what
+is left is verified word for word.
 
-Documents never move: the benchmark goes to them in blocks of at most BLOCK_BYTES of text, each a broadcast of bounded
-size; more benchmark means more blocks, not a larger broadcast. Nothing is emitted for a pair of document and window.
+Both sides are tables, whatever their sizes: no index of the benchmark is built in the driver or in a task. What goes to all
+tasks is a bitmap of shingle hashes, BITMAP bits at any size, which keeps all but a few of the documents' shingles from being
+shuffled; a fuller bitmap lets more through, and the join decides. A shingle travels with the words around it, so texts aren't
+shuffled. Documents are scanned twice, for the counts and for the prefixes, however large the benchmark is.
 
 Edge cases: null or wordless text has no words and isn't contaminated; items without words, with a null id or null text
 are no items; items with equal words are all reported; an item_id that occurs twice is reported once; empty tables give
-uncontaminated documents or no rows; repeated documents are judged each on its own.
+uncontaminated documents or no rows; repeated documents are judged alike; long texts are scanned whole, a piece of their words
+at a time; extra columns of ``docs`` pass through ``clean`` unchanged, whatever their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm.common import fresh, lowered, row_batches, text_values, window_hashes, word_table
+from millrace.llm.common import bitmap_of, cut, fresh, in_bitmap, lowered, row_batches, text_values, window_hashes, word_table
 
 WINDOW = 10
 SHINGLE = 5
-BLOCK_BYTES = 32 << 20
-_BITS = 20
+BITMAP = 1 << 25
+FLUSH = 200_000
 
 
-class Sieve:
-    """Membership in a set of 64-bit hashes: a table of their low bits, then a search in the sorted set."""
+def _item_windows(window: int) -> Callable:
+    """id, words (of a window, joined), n (their number), shingles (hashes by position) of each distinct window of an item."""
+    schema = pa.schema([("id", pa.string()), ("words", pa.string()), ("n", pa.int32()), ("q", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
-    def __init__(self, hashes: np.ndarray):
-        self.keys = np.unique(hashes)
-        self.low = np.zeros(1 << _BITS, bool)
-        self.low[(self.keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``hashes`` that are in the set, and which keys they are."""
-        at = np.flatnonzero(self.low[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        key = np.searchsorted(self.keys, hashes[at])
-        key[key == len(self.keys)] = 0
-        hit = self.keys[key] == hashes[at]
-        return at[hit], key[hit]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), text_values(batch.column(1)), strict=True):
+                low = lowered(text)
+                starts, ends, hashes = word_table(low, True)
+                n = min(window, len(starts))
+                q = min(SHINGLE, n)
+                grams, seen = window_hashes(hashes, q).view(np.int64) if n else None, set()
+                for i in range(len(starts) - n + 1 if n else 0):
+                    words = b" ".join(low[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist(), strict=True))
+                    if words not in seen:
+                        seen.add(words)
+                        rows.append((item, words.decode(), n, q, grams[i : i + n - q + 1].tolist()))
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _counter(bitmap: np.ndarray, widths: list[int]) -> Callable:
+    """(hash, n): how often shingles that are in the bitmap occur, summed in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
+        for batch in row_batches(batches):
+            for text in text_values(batch.column(0)):
+                hashes = word_table(lowered(text), True)[2]
+                for q in widths:
+                    grams = window_hashes(hashes, q)
+                    found = grams[in_bitmap(bitmap, grams)]
+                    if len(found):
+                        held.append(found)
+                        size += len(found)
+                if size > FLUSH:
+                    yield full()
+                    size = 0
+        if held:
+            yield full()
+
+    return run
+
+
+def _scanner(bitmap: np.ndarray, widths: list[int], window: int) -> Callable:
+    """A row for each document (at is null), and one for each of its shingles in the bitmap, with the words around it."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = ("doc_id", "mark", "n_words", "at", "hash", "low", "around")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return out
 
-def item_windows(texts: list[bytes], width: int) -> dict[tuple[bytes, ...], list[int]]:
-    """Each distinct window, as words, and the places in ``texts`` that have it."""
-    out = defaultdict(list)
-    for k, text in enumerate(texts):
-        low = lowered(text)
-        s, e, _ = word_table(low, True)
-        words = [low[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        for w in {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else ():
-            out[w].append(k)
-    return out
+        for batch in row_batches(batches):
+            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_values(batch.column(2)), strict=True):
+                low = lowered(text)
+                starts, ends, hashes = word_table(low, True)
+                n = len(starts)
+                rows.append((doc_id, mark, n, None, None, None, None))
+                for q in widths:
+                    grams = window_hashes(hashes, q)
+                    for at in np.flatnonzero(in_bitmap(bitmap, grams)).tolist():
+                        a, b = max(0, at - window + 1), min(n, at + window)
+                        around = b" ".join(low[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True))
+                        rows.append((doc_id, mark, n, at, int(grams[at : at + 1].view(np.int64)[0]), a, around.decode()))
+                        if len(rows) >= 10_000:
+                            yield full()
+            if rows:
+                yield full()
+
+    return run
+
+
+def item_windows(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """id (as a string), words, n, q, shingles: the windows of all items."""
+    items = benchmark.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t"))
+    return cut(items.mapInArrow(_item_windows(window), "id string, words string, n int, q int, shingles array<long>").distinct())
 
 
-def _shingles(window: tuple[bytes, ...]) -> tuple[int, np.ndarray]:
-    q = min(SHINGLE, len(window))
-    return q, window_hashes(word_table(b" ".join(window), True)[2], q)
+def prefixes(rows: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
+    """``rows``: doc_id, mark, text. hash, offset, words, n: each distinct window with its rarest shingle, and where that is in the window."""
+    shingles = windows.select("words", "n", F.posexplode("shingles").alias("offset", "hash")).distinct()
+    counts = rows.select("text").mapInArrow(_counter(bitmap_of(shingles, "hash", BITMAP), widths), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("count"))
+    ranked = shingles.join(counts, "hash", "left").groupBy("words", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "hash", "offset")).alias("least"))
+    return cut(ranked.select(F.col("least.hash").alias("hash"), F.col("least.offset").alias("offset"), "words", "n"))
 
 
-def _counter(sieves: dict[int, Sieve], text_at: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {q: np.zeros(len(s.keys), np.int64) for q, s in sieves.items()}
-        for batch in row_batches(batches):
-            for text in text_values(batch.column(text_at)):
-                hashes = word_table(lowered(text), True)[2]
-                for q, s in sieves.items():
-                    np.add.at(totals[q], s.find(window_hashes(hashes, q))[1], 1)
-        for q, t in totals.items():
-            if len(at := np.flatnonzero(t)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int32)), pa.array(at.astype(np.int64)), pa.array(t[at])], names=["q", "k", "n"])
-
-    return count
-
-
-class Index:
-    """Windows of one benchmark block, found by their rarest shingle."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], list[int]], counts: dict[tuple[int, int], int]):
-        self.windows, self.items = list(windows), [windows[w] for w in windows]
-        where: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for i, w in enumerate(self.windows):
-            q, hashes = _shingles(w)
-            values = hashes.tolist()
-            offset = min(range(len(values)), key=lambda j: (counts.get((q, values[j]), 0), values[j]))
-            where[q][values[offset]].append((i, offset))
-        self.by = {q: (Sieve(np.array(list(x), np.uint64)), dict(x)) for q, x in where.items()}
-
-    def match(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Of a lower-cased text: number of words, hit word ranges, and the items that occur."""
-        s, e, hashes = word_table(text, True)
-        n, hits, items = len(s), set(), set()
-        for q, (sieve, prefixes) in self.by.items():
-            if n < q:
-                continue
-            grams = window_hashes(hashes, q)
-            for p in sieve.find(grams)[0].tolist():
-                for i, offset in prefixes[int(grams[p])]:
-                    start, window = p - offset, self.windows[i]
-                    if start < 0 or start + len(window) > n or (start, len(window)) in hits and i in items:
-                        continue
-                    if all(text[s[start + k] : e[start + k]] == w for k, w in enumerate(window)):
-                        hits.add((start, start + len(window)))
-                        items.update(self.items[i])
-        return n, sorted(hits), items
-
-
-def _matcher(index: Index, ids: list[str], text_at: int, n_columns: int, first: bool) -> Callable:
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_batches(batches):
-            found = [index.match(lowered(t)) for t in text_values(batch.column(text_at))]
-            spans, items = ([[] for _ in found], [[] for _ in found]) if first else (batch.column(n_columns + 1).to_pylist(), batch.column(n_columns + 2).to_pylist())
-            new = [
-                pa.array([x[0] for x in found], pa.int64()),
-                pa.array([a + [y for p in x[1] for y in p] for a, x in zip(spans, found, strict=True)], pa.list_(pa.int64())),
-                pa.array([sorted({*a, *(ids[k] for k in x[2])}) for a, x in zip(items, found, strict=True)], pa.list_(pa.string())),
-            ]
-            old = batch.columns[:n_columns]
-            yield pa.RecordBatch.from_arrays([*old, *new], names=[f"c{k}" for k in range(n_columns + 3)])
-
-    return match
-
-
-def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, str, str, str]:
-    """``docs`` with three more columns, whose names are returned: number of words, hit ranges (flat starts and ends), item ids as strings."""
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    names = [fresh(docs.columns, f"__{x}") for x in ("n", "spans", "items")]
-    k, text_at = len(docs.columns), docs.columns.index(text)
-    out = docs
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()
-        windows = item_windows([r["t"].encode() for r in part], window)
-        grams: dict[int, list] = defaultdict(list)
-        for w in windows:
-            q, hashes = _shingles(w)
-            grams[q].append(hashes)
-        sieves = {q: Sieve(np.concatenate(x)) for q, x in grams.items()}
-        counted = docs.select(f"`{text}`").mapInArrow(_counter(sieves, 0), "q int, k long, n long").groupBy("q", "k").agg(F.sum("n").alias("n")).collect() if windows else []
-        counts = {(r["q"], int(sieves[r["q"]].keys[r["k"]])): r["n"] for r in counted}
-        kinds = [*(f.dataType for f in docs.schema), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
-        out = out.mapInArrow(_matcher(Index(windows, counts), [r["id"] for r in part], text_at, k, b == 0), T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(kinds)]))
-    return (out.toDF(*docs.columns, *names), *names)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_batches(batches):
-        n_hit = []
-        for spans in batch.column(2).to_pylist():
-            pairs, last, total = sorted(zip(spans[::2], spans[1::2], strict=True)), 0, 0
-            for a, b in pairs:
-                total += max(0, b - max(a, last))
-                last = max(last, b)
-            n_hit.append(total)
-        items = batch.column(3).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in n_hit])],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: documents (doc_id, mark, n_words); found (doc_id, mark, start, stop, words), each occurrence of a window once for equal documents; windows (id, words)."""
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").alias("text"))
+    windows = item_windows(benchmark, item_id, item_text, window)
+    widths = sorted(r["q"] for r in windows.select("q").distinct().collect())  # SHINGLE values at most
+    first = prefixes(rows, windows, widths)
+    scanned = cut(rows.mapInArrow(_scanner(bitmap_of(first, "hash", BITMAP), widths, window), "doc_id long, mark long, n_words long, at long, hash long, low long, around string"))
+    met = scanned.where(F.col("at").isNotNull()).join(first, "hash").withColumn("start", F.col("at") - F.col("offset"))
+    met = met.where((F.col("start") >= F.col("low")) & (F.col("start") + F.col("n") <= F.col("n_words")))
+    there = F.array_join(F.slice(F.split("around", " "), (F.col("start") - F.col("low") + 1).cast("int"), F.col("n")), " ")
+    found = met.where(there == F.col("words")).select("doc_id", "mark", "start", (F.col("start") + F.col("n")).alias("stop"), "words")
+    return scanned.where(F.col("at").isNull()).select("doc_id", "mark", "n_words"), cut(found.distinct()), windows.select("id", "words")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found, n, spans, items = match_items(narrow, benchmark)
-    return found.select("doc_id", n, spans, items).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    documents, found, windows = occurrences(docs, benchmark, doc_id, text)
+    spans = found.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("k")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("last"))
+    covered = F.aggregate("spans", zero, lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], s["last"]))).alias("total"), F.greatest(s["last"], x["stop"]).alias("last")))
+    hit = spans.select("d", "k", covered["total"].alias("n_hit"))
+    ids = found.select("doc_id", "mark", "words").distinct().join(windows, "words").groupBy(F.col("doc_id").alias("d2"), F.col("mark").alias("k2")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    out = documents.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k")), "left").join(ids, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("mark") == F.col("k2")), "left")
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item window occurs, columns unchanged."""
-    found, _, spans, _ = match_items(docs, benchmark, text)
-    return found.where(F.size(spans) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    d, k = (fresh(docs.columns, f"__{x}") for x in ("d", "k"))
+    dirty = cut(occurrences(docs, benchmark, doc_id, text)[1].select(F.col("doc_id").alias(d), F.col("mark").alias(k)).distinct())
+    # a written table has a known size: Spark broadcasts it if that is small, else it is a shuffled join
+    return docs.join(dirty, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(f"`{text}`") == F.col(k)), "left_anti")

@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -105,26 +106,81 @@ def test_mix(spark, rows, few):
     same(out, mixing.mix(df).collect())
 
 
-def test_mix_prefix_of_key_order(spark):
-    """Within a source, the fractional part is a prefix in key order, ended by the document nearest to the budget."""
-    data = [(k, "w " * (1 + k % 13), "en", "ab"[k % 2], 1) for k in range(4000)]
-    out = mixing.mix(spark.createDataFrame(data, DOCS), cycle=(1, 2)).collect()
-    by = defaultdict(list)
+def brute_mix(rows, weights, cycle=(1, 2, 3)):
+    """``rows``: (source, size, mark). Copies of each, from keys recomputed here: whole epochs, then the prefix in key order that comes nearest to the target."""
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    def key(mark, weight):  # Spark's xxhash64 of (seed, mark): each hashes eight bytes (four for an int), seeded with the hash so far
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", mark), h)
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    by, copies = defaultdict(list), [0] * len(rows)
+    for k, ((source, size, mark), w) in enumerate(zip(rows, weights)):
+        by[source].append((key(mark, w), signed(mark) if mark >= 0 else mark, size, k))
+    goal = waterfill({s: sum(x[2] for x in v) for s, v in by.items()}, cycle)
+    for source, v in by.items():
+        total = sum(x[2] for x in v)
+        epochs = int(goal[source] / total + 1e-12) if total else 0
+        rest, done = goal[source] - epochs * total, 0
+        for _, _, size, k in sorted(v):
+            if size:
+                more = done + size / 2 <= rest
+                copies[k] = epochs + more
+                done += size * more
+                rest = rest if more else -1
+    return copies, goal
+
+
+@pytest.mark.parametrize("cycle", [(1, 2, 3), (1, 5)])
+def test_mix_takes_the_prefix_of_key_order(spark, cycle):
+    """Every key, target and selection recomputed by brute force, with weights."""
+    data = [(k, "w " * (1 + k % 13), "en", "abc"[k % 7 % 3], 1) for k in range(3000)]
+    df = spark.createDataFrame(data, DOCS).repartition(5)
+    weight = F.when(F.col("doc_id") % 2 == 0, 0.2).otherwise(0.9)
+    out = mixing.mix(df, quality=weight, cycle=cycle).collect()
+    weights = [0.2 if r["doc_id"] % 2 == 0 else 0.9 for r in out]
+    copies, goal = brute_mix([(r["source"], r["size"], r["mark"]) for r in out], weights, cycle)
+    assert [r["copies"] for r in out] == copies
     for r in out:
-        by[r["source"]].append(r)
-    for rs in by.values():
-        goal, epochs = rs[0]["target"], int(rs[0]["target"] / rs[0]["source_size"])
-        assert abs(sum(r["taken"] for r in rs) - goal) <= 13
-        assert {r["copies"] for r in rs} <= {epochs, epochs + 1}
+        assert math.isclose(r["target"], goal[r["source"]], rel_tol=1e-9)
+    for s in goal:
+        assert abs(sum(r["taken"] for r in out if r["source"] == s) - goal[s]) <= 6.5
+    # heavier documents are chosen more readily
+    light, heavy = (np.mean([r["copies"] for r, w in zip(out, weights) if w == x]) for x in (0.2, 0.9))
+    assert heavy > light
+
+
+@pytest.mark.parametrize("tied", [(5, "w " * 10, "en", "a", 1), (None, "w " * 10, None, "a", None)])
+def test_mix_cuts_ties_at_the_budget(spark, tied):
+    data = [tied] * 100 + [(k, "w " * (8 + k % 5), "en", "b", 1) for k in range(1000, 1300)]
+    df = spark.createDataFrame(data, DOCS).repartition(7)
+    out = mixing.mix(df).collect()
+    for s in "ab":
+        rs = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 6
+        assert max(r["copies"] for r in rs) - min(r["copies"] for r in rs) <= 1
+    assert Counter(r["doc_id"] for r in mixing.mixed(df).collect()) == +sum((Counter({r["doc_id"]: r["copies"]}) for r in out), Counter())
+    same([tuple(r)[:3] + tuple(r)[5:] for r in out], [tuple(r)[:3] + tuple(r)[5:] for r in mixing.mix(df.repartition(2)).collect()])
+
+
+def test_slices_are_even(spark):
+    """No slice of keys holds more than its bound, whatever the weights."""
+    rows = spark.range(200_000).select(mixing._key(F.xxhash64("id"), F.element_at(F.array(F.lit(1.0), F.lit(0.1), F.lit(0.01)), (F.col("id") % 3 + 1).cast("int"))).alias("key"))
+    most = rows.groupBy(F.floor(F.log2("key") * 64).alias("s")).count().agg(F.max("count")).first()[0]
+    assert most <= 200_000 * (2 ** (1 / 64) - 1) / math.e * 1.3
 
 
 def test_mixed_rows(spark, docs, rows):
+    clash = docs.withColumns({"__s": F.lit(1), "__p": F.lit(2), "__size": F.lit(3), "__mark": F.lit(4), "__key": F.lit(5), "__plan": F.lit(6), "__copies": F.lit(7), "plan": F.lit(8)})
     want = Counter()
-    for r in mixing.mix(docs).collect():
+    for r in mixing.mix(clash).collect():
         want[r["doc_id"], r["size"]] += r["copies"]
-    got = Counter((r["doc_id"], len(SPACE.findall(r["text"] or ""))) for r in mixing.mixed(docs).collect())
+    got = Counter((r["doc_id"], len(SPACE.findall(r["text"] or ""))) for r in mixing.mixed(clash).collect())
     assert got == +want
-    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(clash).columns == clash.columns
 
 
 # 2
@@ -191,21 +247,38 @@ def contaminated(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [None, 300])
-def test_decontamination(spark, rows, docs, monkeypatch, block):
-    if block:
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [None, 1 << 15])
+def test_decontamination(spark, rows, docs, monkeypatch, bits):
+    if bits:  # a bitmap so full that it lets nearly everything through
+        monkeypatch.setattr(decontam, "BITMAP", bits)
+        monkeypatch.setattr(decontam, "FLUSH", 50)
     words = [LETTERS.findall(r[1] or "") for r in rows]
     items = [(k, " ".join(w[3 : 3 + n]).upper()) for k, (w, n) in enumerate(zip(words, [1, 2, 4, 5, 9, 10, 11, 30] * 4))]
     items += [(100, None), (101, " - "), (None, "nothing here"), (2, "the second text of an id"), (102, items[7][1]), (10, items[9][1])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
     got = decontam.contamination(docs, bench).collect()
     same(got, contaminated(rows, items))
-    clean = decontam.clean(docs, bench)
-    assert clean.columns == docs.columns
+    clean = decontam.clean(docs.withColumns({"__d": F.lit(1), "__k": F.lit(2)}), bench)
+    assert clean.columns == [*docs.columns, "__d", "__k"]
     assert clean.count() == sum(not x[-1] for x in contaminated(rows, items))
 
 
+def test_decontamination_of_nested_and_repeated_items(spark):
+    """Items within items, at all offsets, repeated under other ids; documents with a passage twice, and whole in a very long text."""
+    w = [f"w{chr(97 + k)}" for k in range(20)]
+    text = " ".join(w)
+    items = [(1, " ".join(w[4:10])), (2, " ".join(w[4:10])), (3, " ".join(w[4:14]))]
+    rng = random.Random(5)
+    for k in range(4, 60):
+        a = rng.randrange(20)
+        items.append((k, " ".join(w[a : a + rng.randint(1, 14)])))
+    data = [(1, text), (2, f"{text}; {text}"), (3, "x " * 150_000 + text + " y" * 1000), (4, " ".join(w[4:9])), (5, " ".join(w[::-1])), (2, f"{text}; {text}"), (None, text)]
+    for few in (items[:3], items):
+        got = decontam.contamination(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(few, "item_id long, text string")).collect()
+        same(got, contaminated(data, few))
+    assert [(r["n_hit"], r["n_items"]) for r in decontam.contamination(spark.createDataFrame(data[:1], "doc_id long, text string"), spark.createDataFrame(items[:3], "item_id long, text string")).collect()] == [(10, 3)]
+
+
 # 4
 
 
@@ -223,19 +296,31 @@ def test_tokens(spark, rows, docs):
         x = ids(r[1])
         want.append((r[0], start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         start += len(x)
-    for bits in (False, True):
-        same(tokens.read_digests(tokens.write_tokens(df, path, block=64, bits=bits)).collect(), want)
+    for bits, file_ids in ((False, tokens.FILE_IDS), (True, 1000)):
+        manifest = tokens.write_tokens(df.withColumns({"part": F.lit("x"), "path": F.lit(1), "base": F.lit(2)}), path, block=64, bits=bits, file_ids=file_ids)
+        same(tokens.read_digests(manifest).collect(), want)
+        assert (manifest.count() > 4) == bits  # files roll over
+
+
+def test_tokens_of_a_long_text(spark):
+    from tokenizers import Tokenizer
+
+    text = "no break " + "x" * 3000 + " " + "word. " * 200_000 + "  end"
+    ids = [*Tokenizer.from_file(queries.vocabulary()).encode(text, add_special_tokens=False).ids, 2]
+    out = tokens.read_digests(tokens.write_tokens(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), queries.vocabulary())).collect()
+    same(out, [(1, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), (2, len(ids), 1, zlib.crc32(np.array([2], "<u4").tobytes()))])
 
 
 def test_planes_random_access():
     ids = np.random.default_rng(1).integers(0, 1 << 32, 1000, dtype=np.uint32)
     for bits in (False, True):
         out = io.BytesIO()
-        w = tokens.PlaneWriter(out, 128, bits)
+        w = tokens.PlaneWriter(out, 128, bits, segment=5)
         for k in range(0, 1000, 37):
-            w.add(k, ids[k : k + 37].tobytes())
+            w.add(k or None, ids[k : k + 37].tobytes())
         w.close()
         r = tokens.PlaneReader(out)
+        assert [d for d, _ in r.documents()] == [None, *range(37, 1000, 37)]
         assert np.array_equal(r.ids(3), ids[384:512])
         assert np.array_equal(np.concatenate([x for _, x in r.documents()]), ids)
 
