@@ -2,20 +2,24 @@
 
 A file holds the ids of documents in ascending doc_id order, cut into blocks of BLOCK ids. Each block is transposed into
 byte planes (or bit planes), each plane is compressed with zstandard, and a chunk index at the end of the file tells where
-each plane starts. Layout: magic, plane data, zstandard-compressed index, its length (8 bytes), magic.
+each plane starts. What the file's documents are, and how many ids each has, is written in segments of SEGMENT documents
+between the planes. Layout: magic, planes and segments, zstandard-compressed index, its length (8 bytes), magic.
 
-A range shuffle gives each task a range of doc_ids, hence a file; the manifest of files is checkpointed, so a lost
-executor costs at most a rewrite under another name, and readers only open what the manifest lists.
+A range shuffle gives each task a range of doc_ids, which it writes to files that roll over at FILE_IDS ids, so a writer holds
+a block, a segment and a bounded index. The manifest of files is checkpointed, so a lost executor costs at most a rewrite
+under other names, and readers only open what the manifest lists.
+
+Whole texts are encoded by the tokenizers library, ENCODE_BYTES of them or one longer text at a time.
 
 Edge cases: null text is empty and gives just the end id; null doc_ids come first; equal doc_ids are ordered by a hash of
-their text; an empty table writes no file and reads as no rows; long texts are encoded whole.
+their text, and rows that are repeated as a whole are written as often; an empty table writes no file and reads as no rows;
+long texts are encoded whole; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import sys
 import uuid
@@ -25,7 +29,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,96 +37,48 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, new_folder, row_batches, text_values
 from millrace.llm.files import open_read, open_write
 
-MAGIC = b"MRPLANE1"
+MAGIC = b"MRPLANE2"
 BLOCK = 1 << 16
+SEGMENT = 1 << 14
+FILE_IDS = 1 << 26
 END_ID = 2
-# Fixed value: the splitting pattern of byte-level BPE vocabularies of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_PIECES, MAX_WORDS = 200_000, 500_000
+ENCODE_BYTES = 1 << 19
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
-
-    Byte-level BPE with that pattern never makes a token across the start of white space that follows other text, so a
-    text's ids are those of its pieces `white space + other`, one after another; pieces and words seen before are looked up.
-    A cache has two generations of a fixed number of entries, so what is used stays and memory is bounded.
-    """
+    """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.old_pieces, self.words, self.old_words = Tokenizer.from_file(path), {}, {}, {}, {}
-        self.split, self.plain = regex.compile(PATTERN), regex.compile(r"[\t\n\r\x20-\x7EÀ-ɏ]*")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        kind = json.loads(self.tokenizer.to_str())
-        byte_level = kind["pre_tokenizer"] or {}
-        # anything else than plain byte-level BPE is encoded without the caches
-        self.cached = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and byte_level.get("use_regex", True) and not any(" " in x for x in self.special)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in found:
-                x.byteswap()
-        return [x.tobytes() for x in found]
-
-    def _parts(self, piece: str) -> list[str] | tuple[str, ...]:
-        if m := _WORD.fullmatch(piece):  # the usual piece: letters, then marks
-            return m.groups() if m[2] else (m[1],)
-        if not self.plain.fullmatch(piece) or any(x in piece for x in self.special):
-            return [piece]
-        return self.split.findall(piece)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cached:
-            return self.whole(texts)
-        if len(self.pieces) > MAX_PIECES:
-            self.old_pieces, self.pieces = self.pieces, {}
-        if len(self.words) > MAX_WORDS:
-            self.old_words, self.words = self.words, {}
-        cut_up, known, words = [pieces_of(x) for x in texts], self.pieces, self.words
-        unseen = {p for ps in cut_up for p in ps if p not in known}
-        parts = {}
-        for p in unseen:
-            if (ids := self.old_pieces.get(p)) is not None:
-                known[p] = ids
-            else:
-                parts[p] = self._parts(p)
-        new = []
-        for w in {w for ws in parts.values() for w in ws if w not in words}:
-            if (ids := self.old_words.get(w)) is not None:
-                words[w] = ids
-            else:
-                new.append(w)
-        words.update(zip(new, self.whole(new), strict=True))
-        known.update((p, b"".join([words[w] for w in ws])) for p, ws in parts.items())
-        return [b"".join([known[p] for p in ps]) for ps in cut_up]
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= ENCODE_BYTES:
+                size += len(texts[stop])
+                stop += 1
+            for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[at:stop]], add_special_tokens=False):
+                ids = array("I", x.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                yield ids.tobytes()
+            at = stop
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, whose caches outlive a task."""
+    """One for each Python worker, as loading a vocabulary takes a while."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:;=?@\[-`{-~]*)")
-_SPACED, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-
-
-def pieces_of(text: str) -> list[str]:
-    """``text`` cut before each space that follows something else than white space."""
-    if _SPACED.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of one block of uint32 ids: 4 byte planes, or 32 bit planes."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -142,12 +97,24 @@ def ids_of(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
+def segment_bytes(docs: list[tuple[int | None, int]]) -> bytes:
+    """Ids (0 for null), which of them are null, and numbers of token ids."""
+    ids = np.array([d or 0 for d, _ in docs], "<i8")
+    return ids.tobytes() + np.packbits([d is None for d, _ in docs]).tobytes() + np.array([n for _, n in docs], "<i8").tobytes()
+
+
+def segment_of(data: bytes, n: int) -> list[tuple[int | None, int]]:
+    ids, sizes = np.frombuffer(data[: 8 * n], "<i8"), np.frombuffer(data[-8 * n :], "<i8")
+    nulls = np.unpackbits(np.frombuffer(data[8 * n : -8 * n], np.uint8), count=n)
+    return [(None if z else d, k) for d, z, k in zip(ids.tolist(), nulls.tolist(), sizes.tolist(), strict=True)]
+
+
 class PlaneWriter:
-    """Streams documents' ids into one file; holds one block and the index."""
+    """Streams documents' ids into one file; holds one block, one segment and the index."""
 
-    def __init__(self, out, block: int = BLOCK, bits: bool = False, level: int = 3):
-        self.out, self.block, self.bits, self.press = out, block, bits, zstandard.ZstdCompressor(level=level)
-        self.held, self.n_held, self.at, self.chunks, self.docs, self.n = [], 0, len(MAGIC), [], [], 0
+    def __init__(self, out, block: int = BLOCK, bits: bool = False, level: int = 3, segment: int = SEGMENT):
+        self.out, self.block, self.bits, self.segment, self.press = out, block, bits, segment, zstandard.ZstdCompressor(level=level)
+        self.held, self.n_held, self.at, self.chunks, self.docs, self.segments, self.n = [], 0, len(MAGIC), [], [], [], 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -157,23 +124,32 @@ class PlaneWriter:
         self.n += len(ids) // 4
         if self.n_held >= self.block:
             self._flush(False)
+        if len(self.docs) >= self.segment:
+            self._close_segment()
+
+    def _put(self, raw: bytes) -> tuple[int, int]:
+        data, at = self.press.compress(raw), self.at
+        self.out.write(data)
+        self.at += len(data)
+        return at, len(data)
+
+    def _close_segment(self) -> None:
+        self.segments.append((len(self.docs), *self._put(segment_bytes(self.docs))))
+        self.docs = []
 
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.held), "<u4")
         stop = len(ids) if last else len(ids) // self.block * self.block
         for k in range(0, stop, self.block):
-            part, where = ids[k : k + self.block], []
-            for plane in planes_of(part, self.bits):
-                data = self.press.compress(plane)
-                self.out.write(data)
-                where.append((self.at, len(data)))
-                self.at += len(data)
-            self.chunks.append((len(part), where))
+            part = ids[k : k + self.block]
+            self.chunks.append((len(part), [self._put(plane) for plane in planes_of(part, self.bits)]))
         self.held, self.n_held = [ids[stop:].tobytes()], len(ids) - stop
 
     def close(self) -> None:
         self._flush(True)
-        index = self.press.compress(json.dumps({"block": self.block, "bits": self.bits, "chunks": self.chunks, "docs": self.docs}).encode())
+        if self.docs:
+            self._close_segment()
+        index = self.press.compress(json.dumps({"block": self.block, "bits": self.bits, "chunks": self.chunks, "segments": self.segments}).encode())
         self.out.write(index + struct.pack("<Q", len(index)) + MAGIC)
 
 
@@ -184,6 +160,8 @@ class PlaneReader:
         self.source = source
         source.seek(0, 2)
         size, tail = source.tell(), len(MAGIC) + 8
+        if size < tail:
+            raise ValueError("not a plane file")
         source.seek(size - tail)
         (length,), magic = struct.unpack("<Q", source.read(8)), source.read(len(MAGIC))
         if magic != MAGIC:
@@ -192,55 +170,63 @@ class PlaneReader:
         self.press = zstandard.ZstdDecompressor()
         self.index = json.loads(self.press.decompress(source.read(length)))
 
+    def _get(self, at: int, length: int) -> bytes:
+        self.source.seek(at)
+        return self.press.decompress(self.source.read(length))
+
     def ids(self, i: int) -> np.ndarray:
         n, where = self.index["chunks"][i]
-        self.source.seek(where[0][0])
-        data, planes, at = self.source.read(sum(x[1] for x in where)), [], 0
-        for _, length in where:
-            planes.append(self.press.decompress(data[at : at + length]))
-            at += length
-        return ids_of(planes, n, self.index["bits"])
+        return ids_of([self._get(*x) for x in where], n, self.index["bits"])
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         held, block = np.zeros(0, "<u4"), 0
-        for doc_id, n in self.index["docs"]:
-            parts, have = [held], len(held)
-            while have < n:
-                parts.append(self.ids(block))
-                have, block = have + len(parts[-1]), block + 1
-            held = np.concatenate(parts) if len(parts) > 1 else held
-            yield doc_id, held[:n]
-            held = held[n:]
+        for n_docs, at, length in self.index["segments"]:
+            for doc_id, n in segment_of(self._get(at, length), n_docs):
+                parts, have = [held], len(held)
+                while have < n:
+                    parts.append(self.ids(block))
+                    have, block = have + len(parts[-1]), block + 1
+                held = np.concatenate(parts) if len(parts) > 1 else held
+                yield doc_id, held[:n]
+                held = held[n:]
+
 
+def _writer(vocabulary: str, folder: str, end_id: int, block: int, bits: bool, file_ids: int) -> Callable:
+    schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
-def _writer(vocabulary: str, folder: str, end_id: int, block: int, bits: bool) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = writer = None
-        part, path, n_docs = TaskContext.get().partitionId(), f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.planes", 0
+        part, file, out, writer, path, n_docs = TaskContext.get().partitionId(), 0, None, None, "", 0
         encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [n_docs], "n_ids": [writer.n]}, schema=schema)
+
         for batch in row_batches(batches):
-            if writer is None:
-                out = open_write(path)
-                writer = PlaneWriter(out, block, bits)
-            texts = [x.decode() for x in text_values(batch.column(1))]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(text_values(batch.column(1))), strict=True):
+                if writer is None:
+                    path, n_docs = f"{folder}/part-{part:06d}-{file:04d}-{uuid.uuid4().hex}.planes", 0
+                    out = open_write(path)
+                    writer = PlaneWriter(out, block, bits)
                 writer.add(doc_id, ids + end)
                 n_docs += 1
+                if writer.n >= file_ids:
+                    yield closed()
+                    writer, file = None, file + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [writer.n]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield closed()
 
     return write
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = END_ID, block: int = BLOCK, bits: bool = False) -> DataFrame:
-    """Writes plane files; the manifest: part, path, n_docs, n_ids, base (ids in earlier files)."""
-    spark = docs.sparkSession
+def write_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = END_ID, block: int = BLOCK, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes plane files; the manifest: part, file, path, n_docs, n_ids, base (ids in earlier files)."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = cut(ordered.mapInArrow(_writer(vocabulary, folder or new_folder(spark, "tokens"), end_id, block, bits), "part int, path string, n_docs long, n_ids long"))
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    manifest = cut(ordered.mapInArrow(_writer(vocabulary, folder or new_folder(docs.sparkSession, "tokens"), end_id, block, bits, file_ids), "part int, file int, path string, n_docs long, n_ids long"))
+    # a row for each file, so this window stays small
+    before = F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("base", F.coalesce(before, F.lit(0)))
 
 
