@@ -6,11 +6,13 @@ compressed with either dictionary; g and b are the summed sizes. The score is lo
 weighted to the classes' shares among all labelled rows.
 
 Fitting uses a bounded sample: SAMPLE rows of each class at most, those with the smallest hash of doc_id; of those, the
-dictionaries see SAMPLE_CHARS characters each, whole pieces of CHUNK characters chosen by hash from the whole text. Calibration and scoring use whole texts on the executors.
+dictionaries see SAMPLE_CHARS characters each, whole pieces of CHUNK characters chosen by hash from the whole text. Calibration
+and scoring use whole texts on the executors.
 
 Edge cases: null and empty texts have difference 0 and ratio 1, scored like any other; labels that are null, or of rows in
 the held-out fold, are never read; a row labelled twice counts with its lower label; if a class has no labelled text, all
-scores are the smoothed share of good labels (0.5 without labels); repeated rows are scored alike.
+scores are the smoothed share of good labels (0.5 without labels); repeated rows, and rows that tie, are scored alike; long texts
+are compressed whole, piece by piece; extra columns pass through ``with_scores`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import cut, row_batches, text_values
+from millrace.llm.common import cut, fresh, row_batches, text_values
 
 SAMPLE = 2000
 SAMPLE_CHARS = 8192
@@ -47,13 +50,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts' tail where there is too little text to train on."""
+    """A trained dictionary; where there is too little text to train on, pieces of it at even distances, DICTIONARY bytes at most."""
     raw = [x.encode() for x in texts]
     pieces = [x[k : k + CHUNK] for x in raw for k in range(0, len(x), CHUNK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(raw)[-DICTIONARY:]
+        step = -(-len(pieces) // (DICTIONARY // CHUNK))
+        return b"".join(pieces[::step])
 
 
 class Measure:
@@ -74,12 +78,15 @@ class Measure:
         return (g - b) / (g + b), min(g, b) / len(text)
 
 
-def _measured(good: bytes, bad: bytes, text_at: int = 0) -> Callable:
+def _measured(good: bytes, bad: bytes, text_at: int, keep_text: bool) -> Callable:
+    """The columns, with or without the text's, then difference and ratio."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(good, bad)
         for batch in row_batches(batches):
             x = np.array([measure(t) for t in text_values(batch.column(text_at))])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["key", "difference", "ratio"])
+            columns = [*(c for k, c in enumerate(batch.columns) if keep_text or k != text_at), pa.array(x[:, 0]), pa.array(x[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     return run
 
@@ -104,14 +111,21 @@ class Model:
     def __init__(self, good: bytes = b"", bad: bytes = b"", weights: list[float] | None = None, prior: float = 0.5):
         self.good, self.bad, self.weights, self.prior = good, bad, weights, prior
 
-    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id, score."""
-        d = F.col(f"`{doc_id}`").cast("long").alias("doc_id")
+    def with_scores(self, docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+        """``docs`` with one more column, whose name is returned: the score of each row."""
+        name = fresh(docs.columns, "score")
         if self.weights is None:
-            return docs.select(d, F.lit(self.prior).alias("score"))
-        rows = docs.select(F.col(f"`{text}`").alias("text"), d).mapInArrow(_measured(self.good, self.bad), "doc_id long, difference double, ratio double")
+            return docs.withColumn(name, F.lit(self.prior)), name
+        d, r = (fresh(docs.columns, f"__{x}") for x in ("difference", "ratio"))
+        kinds = [*(f.dataType for f in docs.schema), T.DoubleType(), T.DoubleType()]
+        rows = docs.mapInArrow(_measured(self.good, self.bad, docs.columns.index(text), True), T.StructType([T.StructField(f"c{k}", x) for k, x in enumerate(kinds)])).toDF(*docs.columns, d, r)
         w0, w1, w2 = self.weights
-        return rows.select("doc_id", (1 / (1 + F.exp(-(w0 + w1 * F.col("difference") + w2 * F.col("ratio"))))).alias("score"))
+        return rows.select(*(F.col(f"`{c}`") for c in docs.columns), (1 / (1 + F.exp(-(w0 + w1 * F.col(d) + w2 * F.col(r))))).alias(name)), name
+
+    def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """doc_id, score."""
+        scored, name = self.with_scores(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text")
+        return scored.select("doc_id", F.col(name).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -134,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not all(texts):
         return Model(prior=prior)
     dictionaries = [dictionary(x) for x in texts]
-    table = rows.where(~for_dictionary).select("text", "y").mapInArrow(_measured(*dictionaries), "y int, difference double, ratio double").limit(2 * sample).collect()
+    table = rows.where(~for_dictionary).select("text", "y").mapInArrow(_measured(*dictionaries, 0, False), "y int, difference double, ratio double").limit(2 * sample).collect()
     x, y = np.array([(r["difference"], r["ratio"]) for r in table]).reshape(-1, 2), np.array([r["y"] for r in table])
     if len(set(y.tolist())) < 2:
         return Model(prior=prior)

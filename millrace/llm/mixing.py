@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document gets the key -ln(u) / w from a hash u of its id and its quality weight w. Within a source, documents in key
+Every document gets the key -ln(u) / w from a hash u of its row and its quality weight w. Within a source, documents in key
 order are prefix-summed to the source's word budget; whole epochs come first, the rest is the prefix up to the budget.
 
-The prefix sum is never made over a whole source: keys fall into BUCKETS slices, slice totals are pre-aggregated, and only
-the slice in which a budget ends is sorted. A source's selection is then one comparison with its last chosen key.
+The prefix sum is never made over a whole source. Keys fall into slices of equal width on a logarithmic scale, SLICES to a
+factor of two: whatever the weights, a slice of relative width d holds a share of d / e of the documents at most, as x w
+exp(-x w) never exceeds 1 / e. Slice totals are pre-aggregated, and only the slice in which a budget ends is sorted. A source's
+selection is then one comparison with its last chosen key.
 
 Edge cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; an empty table
-gives an empty result; repeated doc_ids share a key and are ordered by size; equal rows are interchangeable, and those that
-tie with the last chosen row are all taken; null doc_id hashes like any other value.
+gives an empty result; long texts are counted whole; a null id is an id like any other; rows that repeat as a whole share a
+key, and if the budget ends among them, just as many of them are taken as bring the source nearest to its budget; extra
+columns pass through ``mixed`` unchanged, whatever their names; null or non-positive quality weighs LEAST.
 """
 
 from __future__ import annotations
@@ -16,32 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh, n_space_words
+from millrace.llm.common import cut, fresh, n_space_words, row_mark
 
-BUCKETS = 1024
+SLICES = 4096
 MAX_COPIES = 3
 MANY_SOURCES = 20_000
 SEED = 20
+LEAST = 0.01
 
 
-def default_quality(size: Column) -> Column:
-    """A weight in (0, 1]: documents of few words are chosen less readily."""
-    return (size + 1) / (size + 51)
+def _key(mark: Column, weight: Column) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), mark), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return -F.log(u) / F.greatest(F.coalesce(weight.cast("double"), F.lit(LEAST)), F.lit(LEAST))
 
 
-def _keyed(doc_id: Column, source: Column, size: Column, weight: Column) -> list[Column]:
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return [doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), (-F.log(u) / weight).alias("key")]
-
-
-def _bucket(key: Column) -> Column:
-    return F.floor((1 - F.exp(-key)) * BUCKETS).cast("int")
+def _slice(key: Column) -> Column:
+    return F.floor(F.log2(key) * SLICES).cast("int")
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``sizes``: source, source_size. Adds target: weights repeat ``cycle`` in source order and share all words, at most MAX_COPIES x a source's size.
 
     The shares are the level L with sum(min(cap, L x weight)) = all words, found from prefix sums in order of cap / weight.
+    There is one row for each source, so these windows hold no documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, cycle)), F.pmod(F.row_number().over(order) - 1, F.lit(len(cycle))) + 1).cast("double")
@@ -58,58 +58,77 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 
 
 def plan(keyed: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per source: source, source_size, target, epochs, last (the greatest chosen (key, doc_id, size)) or edge (the slice before which all is chosen)."""
-    slices = keyed.groupBy("source", _bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words"))
-    slices = cut(slices)
+    """``keyed``: source, size, mark, key. One row per source: source, source_size, target, epochs; last (the greatest chosen (key,
+    mark)) with ties and taken (how many rows have it, and how many of them are chosen); or edge (the slice before which all is chosen)."""
+    slices = cut(keyed.groupBy("source", _slice(F.col("key")).alias("slice")).agg(F.sum("size").alias("words")))
     goal = cut(targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), cycle))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = goal.select(F.col("source").alias("s"), "rest")
     ends = slices.withColumn("before", before).join(g, F.col("source").eqNullSafe(F.col("s"))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    ends = ends.select("s", F.col("bucket").alias("b"), "before", "rest")
-    inside = keyed.join(ends, F.col("source").eqNullSafe(F.col("s")) & (_bucket(F.col("key")) == F.col("b")))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # the document in which the budget ends is taken if that comes nearer to the budget
-    chosen = inside.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    last = chosen.groupBy(F.col("source").alias("s")).agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
+    ends = cut(ends.select("s", F.col("slice").alias("edge"), "before", "rest"))
+    inside = keyed.where("size > 0").join(ends, F.col("source").eqNullSafe(F.col("s")) & (_slice(F.col("key")) == F.col("edge")))
+    inside = inside.groupBy("source", "key", "mark", "size", "before", "rest").agg(F.count("*").alias("ties"))
+    own = F.col("ties") * F.col("size")
+    upto = F.col("before") + F.sum(own).over(Window.partitionBy("source").orderBy("key", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # of the rows in which the budget ends, as many as come nearest to it
+    taken = F.least(F.col("ties"), F.floor((F.col("rest") - (upto - own)) / F.col("size") + 0.5)).cast("long")
+    chosen = inside.withColumn("taken", taken).where("taken > 0")
+    last = chosen.groupBy(F.col("source").alias("s2")).agg(F.max(F.struct("key", "mark", "ties", "taken")).alias("last"))
     # no document chosen in the slice itself: all slices before it are taken
-    edge = ends.select(F.col("s").alias("s2"), F.col("b").alias("edge"))
-    out = goal.join(last, F.col("source").eqNullSafe(F.col("s")), "left").join(edge, F.col("source").eqNullSafe(F.col("s2")), "left")
-    return out.select("source", "source_size", "target", "epochs", "last", F.when(F.col("last").isNull(), F.col("edge")).alias("edge"))
+    out = goal.join(ends.select("s", "edge"), F.col("source").eqNullSafe(F.col("s")), "left").join(last, F.col("source").eqNullSafe(F.col("s2")), "left")
+    return cut(out.select("source", "source_size", "target", "epochs", F.struct("last.key", "last.mark").alias("last"), "last.ties", "last.taken", F.when(F.col("last").isNull(), F.col("edge")).alias("edge")))
 
 
-def _with_plan(rows: DataFrame, source: Column, planned: DataFrame) -> DataFrame:
-    """Joins each row's source; broadcast only if a count shows few sources."""
-    side = planned.select(F.struct(F.col("source").alias("v")).alias("__s"), F.struct("source_size", "target", "epochs", "last", "edge").alias("__p"))
+def _with_plan(rows: DataFrame, source: Column, planned: DataFrame, name: str) -> DataFrame:
+    """Joins each row's source's plan as a struct ``name``; broadcast only if a count shows few sources."""
+    side = planned.select(F.struct(*planned.columns).alias(name))
     if planned.count() <= MANY_SOURCES:
         side = F.broadcast(side)
-    return rows.join(side, source.eqNullSafe(F.col("__s.v")), "left")
+    return rows.join(side, source.eqNullSafe(F.col(name)["source"]), "left")
 
 
-def _copies(size: Column, key: Column, doc_id: Column) -> Column:
-    p = F.col("__p")
-    mine = F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size"))
-    extra = (p["last"].isNotNull() & (mine <= p["last"])) | (p["edge"].isNotNull() & (_bucket(key) < p["edge"]))
-    return F.when(size > 0, p["epochs"] + F.coalesce(extra, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+def _before_last(key: Column, mark: Column, p: Column) -> tuple[Column, Column]:
+    """Whether a row comes before the last chosen one, and whether it ties with it."""
+    same = key == p["last"]["key"]
+    before = (key < p["last"]["key"]) | (same & (mark < p["last"]["mark"])) | (_slice(key) < p["edge"])
+    return F.coalesce(before, F.lit(False)), F.coalesce(same & (mark == p["last"]["mark"]), F.lit(False))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken. ``quality``: a positive column of ``docs``."""
-    sized = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{source}`").alias("s"), n_space_words(F.col(f"`{text}`")).alias("n"), (F.lit(None).cast("double") if quality is None else quality.cast("double")).alias("q"))
-    keyed = cut(sized.select(*_keyed(F.col("d"), F.col("s"), F.col("n"), F.coalesce(F.col("q"), default_quality(F.col("n"))))))
-    planned = cut(plan(keyed, cycle))
-    joined = _with_plan(keyed, F.col("source"), planned)
-    copies = _copies(F.col("size"), F.col("key"), F.col("doc_id"))
-    return joined.select("doc_id", "source", "size", F.col("__p.source_size").alias("source_size"), F.col("__p.target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """One row per document: doc_id, source, size, mark (a hash of the row), key, source_size, target, copies, taken. ``quality``: weights from ``docs``, 1 by default."""
+    weight = F.lit(1.0) if quality is None else quality
+    sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_space_words(F.col(f"`{text}`")).alias("size"), row_mark(docs).alias("mark"), weight.alias("weight"))
+    keyed = cut(sized.select("doc_id", "source", "size", "mark", _key(F.col("mark"), F.col("weight")).alias("key"), F.monotonically_increasing_id().alias("row")))
+    joined = _with_plan(keyed, F.col("source"), plan(keyed, cycle), "plan")
+    before, tie = _before_last(F.col("key"), F.col("mark"), F.col("plan"))
+    joined = joined.withColumn("tie", tie & (F.col("plan.taken") < F.col("plan.ties")))
+    # rows that repeat as a whole are numbered if only some of them are taken: within a task that wrote them, then across tasks
+    ties = joined.where("tie").withColumn("task", F.shiftright("row", 33))
+    tasks = ties.groupBy("source", "task").agg(F.count("*").alias("n"))
+    tasks = tasks.select(F.col("source").alias("s"), F.col("task").alias("t"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_before"))
+    number = F.row_number().over(Window.partitionBy("source", "task").orderBy("row"))
+    ties = ties.withColumn("number", number).join(tasks, F.col("source").eqNullSafe(F.col("s")) & (F.col("task") == F.col("t")))
+    extra = ties.withColumn("extra", F.col("number") + F.col("n_before") <= F.col("plan.taken")).drop("task", "number", "s", "t", "n_before")
+    both = joined.where(~F.col("tie")).withColumn("extra", before | tie).union(extra)
+    copies = F.when(F.col("size") > 0, F.col("plan.epochs") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long")
+    return both.select("doc_id", "source", "size", "mark", "key", F.col("plan.source_size").alias("source_size"), F.col("plan.target").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, columns unchanged. Texts aren't shuffled if sources are few."""
-    n, k, r = (fresh(docs.columns, f"__{x}") for x in ("n", "k", "r"))
-    size = docs.withColumn(n, n_space_words(F.col(f"`{text}`")))
-    keyed = cut(size.select(*_keyed(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(n), default_quality(F.col(n)))))
-    planned = cut(plan(keyed, cycle))
-    rows = size.withColumn(k, _keyed(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(n), default_quality(F.col(n)))[3])
-    joined = _with_plan(rows, F.col(f"`{source}`"), planned).withColumn(r, _copies(F.col(n), F.col(k), F.col(f"`{doc_id}`"))).where(F.col(r) > 0)
-    return joined.withColumn(r, F.explode(F.sequence(F.lit(1), F.col(r)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    n, m, k, p, r = (fresh(docs.columns, f"__{x}") for x in ("size", "mark", "key", "plan", "copies"))
+    weight = F.lit(1.0) if quality is None else quality
+    rows = docs.withColumns({n: n_space_words(F.col(f"`{text}`")), m: row_mark(docs)}).withColumn(k, _key(F.col(m), weight))
+    keyed = cut(rows.select(F.col(f"`{source}`").alias("source"), F.col(n).alias("size"), F.col(m).alias("mark"), F.col(k).alias("key")))
+    joined = _with_plan(rows, F.col(f"`{source}`"), plan(keyed, cycle), p).where(F.col(n) > 0)
+    before, tie = _before_last(F.col(k), F.col(m), F.col(p))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+
+    def repeated(df: DataFrame, copies: Column) -> DataFrame:
+        return df.withColumn(r, copies).where(F.col(r) > 0).withColumn(r, F.explode(F.sequence(F.lit(1).cast("long"), F.col(r)))).select(*own)
+
+    out = repeated(joined, F.col(p)["epochs"] + before.cast("long"))
+    # rows that tie with the last chosen one are equal: one of them stands for as many as are chosen
+    return out.unionAll(repeated(joined.where(tie).dropDuplicates([m]), F.col(p)["taken"]))

@@ -21,7 +21,9 @@ def vocabulary() -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    scored, score = classifier.fit(docs, table(spark, sf_dir, "labels")).with_scores(docs)
+    return mixing.mix(scored, quality=F.col(score)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
