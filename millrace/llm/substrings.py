@@ -11,8 +11,8 @@ several buckets, each of which settles what it can (equal packed strings once, w
 passes on one row per distinct window, by a 128-bit digest, to be compared across salts by a pre-aggregated minimum.
 
 Edge cases: null text has no words; texts of fewer than WINDOW words are never changed; rows with equal doc_id are one
-document, so they never remove each other's words; a null doc_id neither removes nor loses words; an empty table gives no
-rows; texts of any length go through whole.
+document, so they never remove each other's words, and repeated rows fare alike; a null doc_id neither removes nor loses
+words; an empty table gives no rows; texts of any length go through whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, mix64, row_batches, text_values, window_hashes, word_table
+from millrace.llm.common import bitmap_of, cut, in_bitmap, mix64, row_batches, text_values, window_hashes, word_table
 
 WINDOW = 50
 MINIMISER = 8
 SALT_OVER = 256
+BITMAP = 1 << 25
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,13 +72,14 @@ def _pack(window: int, gram: int) -> Callable:
                 if not minis:
                     continue
                 wanted = dict(zip(minis, salts, strict=True))
+                doc_salt = int(mix64(np.array([doc_id], np.int64).view(np.uint64))[0])
                 starts, ends, hashes = word_table(text, False)
                 mini, first, count = super_kmers(hashes, window, gram)
                 for m, s, n in zip(mini.view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True):
                     k = wanted.get(m)
                     if k:
                         packed = b" ".join(text[starts[s] : ends[s + n + window - 2]].split())
-                        rows.append((m, doc_id % k, k > 1, doc_id, mark, s, packed))
+                        rows.append((m, doc_salt % k, k > 1, doc_id, mark, s, packed))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -193,6 +195,22 @@ def kept_words(text: bytes, ranges: list[dict] | None) -> tuple[int, list[bytes]
     return len(words), out + words[at:]
 
 
+def _without(ranges_of: np.ndarray) -> Callable:
+    """doc_id, mark, then of texts that surely lose nothing what ``removals`` returns, of others the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_batches(batches):
+            open_ = in_bitmap(ranges_of, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            rows = []
+            for doc_id, mark, text, concerned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_values(batch.column(2)), open_.tolist(), strict=True):
+                words = [] if concerned else text.split()
+                rows.append((doc_id, mark, text.decode(), None, None) if concerned else (doc_id, mark, None, len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_batches(batches):
         rows = []
@@ -203,14 +221,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").alias("text"))
-    return rows.join(cut(covered(rows)), (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("k")), "left")
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("mark"), F.col(f"`{text}`").alias("text"))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    return _with_ranges(docs, doc_id, text).select("doc_id", "text", "ranges").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """One row per document: doc_id, n_words, n_removed, kept_sha256. A bitmap of the texts that lose words keeps most others from being shuffled."""
+    rows = _rows(docs, doc_id, text)
+    ranges = cut(covered(rows))
+    parts = cut(rows.mapInArrow(_without(bitmap_of(ranges, "k", BITMAP)), "doc_id long, mark long, text string, n_words long, kept_sha256 string"))
+    whole = parts.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    open_ = parts.where(F.col("text").isNotNull()).join(ranges, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("k")), "left")
+    return whole.unionAll(open_.select("doc_id", "text", "ranges").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,4 +243,6 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text without the repeated passages (words joined by one space where any was removed), ranges of removed words."""
-    return _with_ranges(docs, doc_id, text).select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, text string, ranges array<struct<start:long,stop:long>>")
+    rows = _rows(docs, doc_id, text)
+    joined = rows.join(cut(covered(rows)), (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("k")), "left")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, text string, ranges array<struct<start:long,stop:long>>")
