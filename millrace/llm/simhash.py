@@ -9,8 +9,12 @@ Variants are shuffled; within a variant's bucket, links are found and verified w
 equal left-out blocks are within 2 bits of each other, so only different left-out blocks are compared, and each bucket
 gives a spanning forest, fewer rows than it has members. Components are then joined up over the whole input.
 
+A bucket holds distinct fingerprints only, 8 bytes each. They agree in 42 bits but for one, so there are 44 x 2^22 of them at
+the very most, and as many copies as one likes of a document are one.
+
 Edge cases: null or wordless text has fingerprint zero, linked like any other; repeated rows share a component; a
-component whose ids are all null has a null component_id; null ids never are the smallest; an empty table gives no rows.
+component whose ids are all null has a null component_id; null ids never are the smallest; an empty table gives no rows;
+long texts are hashed whole, _STEP shingles at a time; extra columns pass through ``keep_one`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lowered, row_batches, text_values
+from millrace.llm.common import cut, fresh, lowered, row_batches, row_mark, text_values, whole_batches
 from millrace.llm.components import components
 
 SHINGLE = 3
@@ -56,13 +60,13 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_batches(batches):
         prints = np.array([fingerprint(t) for t in text_values(batch.column(0))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(prints)], names=["doc_id", "mark", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(prints)], names=["doc_id", "mark", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, mark (a hash of the text), fp (the fingerprint as a signed long)."""
-    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("d"), F.xxhash64(f"`{text}`").alias("m"))
-    return cut(rows.mapInArrow(_fingerprints, "doc_id long, mark long, fp long"))
+    """doc_id, mark (a hash of the text), row (a hash of the whole row), fp (the fingerprint as a signed long)."""
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("d"), F.xxhash64(f"`{text}`").alias("m"), row_mark(docs).alias("r"))
+    return cut(rows.mapInArrow(_fingerprints, "doc_id long, mark long, row long, fp long"))
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    for batch in row_batches(batches):
+    for batch in whole_batches(batches):
         rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         if held is not None:
             rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
@@ -190,25 +194,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, mark, fp, component_id, keeper (doc_id, mark) of the component."""
+    """One row per document: doc_id, mark, row, fp, component_id, keeper (the row of the component that stays: mark, row)."""
     prints = fingerprints(docs, doc_id, text)
     # per distinct fingerprint, its least document; null ids come last
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("keeper")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row")
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(order).alias("keeper")))
     balls = variants(least).repartition("which", "variant").sortWithinPartitions("which", "variant")
-    links = cut(balls.mapInArrow(_links, "a long, b long"))
-    root = components(links)
+    root = components(balls.mapInArrow(_links, "a long, b long"))
     rooted = least.join(root, least["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id", "keeper")
     heads = rooted.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"), F.min("keeper").alias("keeper"))
-    named = cut(rooted.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", heads["keeper"]))
-    return prints.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "mark", "fp", "component_id", "keeper")
+    named = cut(rooted.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", F.struct(heads["keeper"]["mark"].alias("mark"), heads["keeper"]["row"].alias("row")).alias("keeper")))
+    return prints.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "mark", "row", "fp", "component_id", "keeper")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with just one document of each component, its least id; columns unchanged."""
+    """The rows of ``docs`` with just one document of each component, its least id; columns unchanged.
+
+    Of rows that share that id, the one with the least hashes of text and of the whole row stays; of equal rows, one."""
+    m, r = (fresh(docs.columns, f"__{x}") for x in ("mark", "row"))
     members = near_duplicates(docs, doc_id, text)
-    keepers = cut(members.where(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark") == F.col("keeper")).groupBy(F.col("doc_id").alias("__d"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n")))
-    kept = docs.join(keepers, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text}`") == F.col("__m")), "left_semi")
-    if keepers.where("__n > 1").isEmpty():
-        return kept
-    # rows that are repeated as a whole: one of them stays
-    return kept.dropDuplicates([doc_id, text])
+    keepers = cut(members.where(F.struct("mark", "row") == F.col("keeper")).select(F.col("mark").alias(m), F.col("row").alias(r)).distinct())
+    marked = docs.withColumns({m: F.xxhash64(f"`{text}`"), r: row_mark(docs)})
+    # equal rows lie together after the join, so this takes no further shuffle
+    return marked.join(keepers, [r, m], "left_semi").dropDuplicates([r, m]).select(*(F.col(f"`{c}`") for c in docs.columns))
