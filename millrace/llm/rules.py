@@ -1,11 +1,17 @@
 """Quality rules: decision lists learned by sequential covering, emitted as Spark conditional expressions.
 
 Native: statistics, learning and application are DataFrame operations; the driver sees only histograms whose size is
-(number of features) x (number of thresholds), whatever the input.
+(number of features) x (number of thresholds), whatever the input. Statistics are computed once and written; what learns, and
+what applies the list, reads them.
+
+The model's size is set by parameters: a threshold is one of N_THRESHOLDS quantiles of the bad or the good documents, a list has
+MAX_RULES rules at most, a rule MAX_CONDITIONS conditions. They bound what is learned, not what is looked at: every labelled
+document counts in every histogram, and every document is judged.
 
 Edge cases: null text counts as empty (no words, hence rejected by the base rule); a text without words has all statistics
 0; null doc_id rows get statistics and a verdict but can't carry a label; repeated rows are judged each on its own; rows
-labelled several times count once with the lower label; without labels no rule is learned and only the base rule rejects.
+labelled several times count once with the lower label; without labels of both kinds no rule is learned and only the base rule
+rejects; long texts are measured whole; extra columns pass through ``keep_good`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,16 +37,21 @@ def _ordered(hashes: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
-def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column of STATS; returns (frame, name of the column)."""
-    name = fresh(docs.columns, "__stats")
-    a, b, c, d, e = (fresh(docs.columns, f"__{x}") for x in ("words", "hashes", "windows", "twice", "at"))
+def text_stats(docs: DataFrame, text: str = "text", keep_text: bool = True) -> tuple[DataFrame, str]:
+    """``docs``, with its text or without, and one more column, whose name is returned: a struct of STATS. Written, so that it is computed once."""
+    taken = list(docs.columns)
+
+    def new(x: str) -> str:
+        taken.append(fresh(taken, f"__{x}"))
+        return taken[-1]
+
+    a, b, c, d, e, marks, lines, name = map(new, ("words", "hashes", "windows", "twice", "at", "marks", "lines", "stats"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.withColumns(
         {
             a: F.regexp_extract_all(t, F.lit(f"[^{SPACE}]+"), F.lit(0)),
-            f"{a}_marks": F.regexp_replace(t, r"[^#*$%&|<>!A-Z]+", ""),
-            f"{a}_lines": F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
+            marks: F.regexp_replace(t, r"[^#*$%&|<>!A-Z]+", ""),
+            lines: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
         }
     )
     base = base.withColumn(b, F.transform(a, lambda w: F.xxhash64(w)))
@@ -52,20 +63,19 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     same = lambda j, x: F.coalesce(F.get(F.col(d), j)["h"] == x["h"], F.lit(False))
     base = base.withColumn(e, F.sort_array(F.transform(F.filter(d, lambda x, j: same(j - 1, x) | same(j + 1, x)), lambda x: x["i"])))
     covered = F.aggregate(F.transform(e, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(e), j + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
-    marks = F.col(f"{a}_marks")
-    symbols = F.length(F.regexp_replace(marks, "[!A-Z]+", ""))
-    shouts = F.length(F.regexp_replace(marks, "[^!]+", ""))
+    symbols = F.length(F.regexp_replace(F.col(marks), "[!A-Z]+", ""))
+    shouts = F.length(F.regexp_replace(F.col(marks), "[^!]+", ""))
     stats = {
         "n_words": n,
         "word_chars": F.length(F.array_join(a, "")),
         "n_symbols": symbols,
-        "n_dup_lines": F.size(f"{a}_lines") - F.size(F.array_distinct(f"{a}_lines")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_upper": F.length(marks) - symbols - shouts,
+        "n_upper": F.length(F.col(marks)) - symbols - shouts,
         "n_marks": shouts,
     }
     base = base.withColumn(name, F.struct(*(v.cast("long").alias(k) for k, v in stats.items())))
-    return base.drop(a, b, c, d, e, f"{a}_marks", f"{a}_lines"), name
+    return cut(base.select(*(F.col(f"`{x}`") for x in [*docs.columns, name] if keep_text or x != text))), name
 
 
 def features(s: Column) -> dict[str, Column]:
@@ -207,30 +217,25 @@ def learn(labelled: DataFrame, names: list[str]) -> DecisionList:
     return DecisionList(rules)
 
 
-def learn_from(stats: DataFrame, column: str, doc_id: str, labels: DataFrame) -> DecisionList:
-    """``stats``: rows with an id and a struct of STATS; ``labels``: doc_id and quality (0 or 1)."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q"))
-    values = features(F.col(column))
-    one = stats.select(F.col(f"`{doc_id}`").alias("__id"), F.col(column)).where(F.col("__id").isNotNull() & ~base_failed(F.col(column)))
-    rows = one.join(marked, "__id").select((F.col("q") < 1).cast("int").alias("bad"), F.pmod(F.xxhash64(F.col("__id")), F.lit(3)).alias("part"), *(v.alias(k) for k, v in values.items()))
+def learn_from(stats: DataFrame, column: str, doc_id: str, labels: DataFrame, label: str = "quality") -> DecisionList:
+    """``stats``: rows with an id and a struct of STATS, as ``text_stats`` writes them; ``labels``: doc_id and label (0 or 1)."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("q"))
+    one = stats.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{column}`").alias("s")).where(F.col("id").isNotNull() & ~base_failed(F.col("s")))
+    values = features(F.col("s"))
+    rows = one.join(marked, "id").select((F.col("q") < 1).cast("int").alias("bad"), F.pmod(F.xxhash64(F.col("id")), F.lit(3)).alias("part"), *(v.alias(k) for k, v in values.items()))
     return learn(cut(rows), list(values))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, STATS, base_failed, kept."""
-    measured, column = text_stats(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    stats = cut(measured.select("doc_id", column))
-    found, s = learn_from(stats, column, "doc_id", labels), F.col(column)
-    return stats.select("doc_id", *(s[x].alias(x) for x in STATS), base_failed(s).alias("base_failed"), (~base_failed(s) & found.verdict(s)).alias("kept"))
+    measured, column = text_stats(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), keep_text=False)
+    found, s = learn_from(measured, column, "doc_id", labels), F.col(column)
+    return measured.select("doc_id", *(s[x].alias(x) for x in STATS), base_failed(s).alias("base_failed"), (~base_failed(s) & found.verdict(s)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the base rule and the learned list keep, columns unchanged; statistics are taken in place, so texts aren't shuffled."""
-    measured, column = text_stats(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    stats = cut(measured.select("doc_id", column))
-    found = learn_from(stats, column, "doc_id", labels)
-    again, column = text_stats(docs, text)
-    s, barrier = F.col(column), fresh(again.columns, "__barrier")
-    # a filter isn't pushed through a non-deterministic projection; pushed down, it would compute the statistics inside lambdas
-    again = again.withColumn(barrier, F.rand(0))
-    return again.where(~base_failed(s) & found.verdict(s) & (F.col(barrier) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the base rule and the learned list keep, columns unchanged. Documents are written once with their statistics, so texts aren't shuffled."""
+    measured, column = text_stats(docs, text)
+    s = F.col(f"`{column}`")
+    kept = measured.where(~base_failed(s) & learn_from(measured, column, doc_id, labels).verdict(s))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
