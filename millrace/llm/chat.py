@@ -10,7 +10,8 @@ The template writes a turn as `### role: text</turn>` and a line feed. Inside ro
 loss mask names the assistant texts by turn, first character within the turn, and length.
 
 Edge cases: null role or text is empty; turns are ordered by turn (null first), role, text, and repeated turns stay; a
-null conv_id is a conversation of its own; an empty table gives no rows; a row without turns formats to the empty string.
+null conv_id is a conversation of its own, one for all its rows; an empty table gives no rows; a row without turns formats to
+the empty string; texts of any length are formatted whole; extra columns are ignored, whatever their names.
 A conversation is one output string, so its turns meet in one row; nothing else is gathered.
 """
 

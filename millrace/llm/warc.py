@@ -8,7 +8,8 @@ Files roll over at FILE_BYTES; the manifest of files is checkpointed, so a lost
 only open what the manifest lists, a task for each file.
 
 Edge cases: null html is the empty payload; null page_ids are written and read as null, and are a response only if their
-payload has no page_id at all; rows that repeat the smallest page_id are responses too; an empty table writes no file.
+payload has no page_id at all; rows that repeat the smallest page_id are responses too; an empty table writes no file; a long
+payload is written and read whole, as one record; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
