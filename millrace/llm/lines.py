@@ -80,7 +80,10 @@ def _shingles(points: np.ndarray) -> np.ndarray:
     for k in range(1, SHINGLE):
         h *= _MULT
         h += x[k : k + n]
-    h = mix64(h)
+    h ^= h >> np.uint64(32)
+    h *= _MULT
+    h ^= h >> np.uint64(29)
+    h *= _MULT
     h >>= np.uint64(64 - _HASH_BITS)
     return h
 
@@ -141,14 +144,13 @@ def minima(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """One row of band hashes for each line, and its number of distinct shingles."""
     out, sizes = minima(lines)
-    # an empty bin takes over its right neighbour's value, marked with the distance
-    for _ in range(_BINS):
-        rows = np.flatnonzero((out == 0).any(axis=1))
-        if not len(rows):
-            break
-        part = out[rows]
-        right = np.roll(part, -1, axis=1)
-        out[rows] = np.where((part == 0) & (right != 0), right * np.uint64(3) + np.uint64(0x51ED270B), part)
+    rows = np.flatnonzero((out == 0).any(axis=1))
+    if len(rows):  # an empty bin takes over the value of the next one to the right that isn't, marked with the distance
+        part, column = out[rows], np.arange(2 * _BINS)
+        filled = np.where(np.tile(part != 0, 2), column, 2 * _BINS)
+        source = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
+        distance = (source - column[:_BINS]).astype(np.uint64)
+        out[rows] = np.take_along_axis(part, source % _BINS, axis=1) + distance * np.uint64(0x51ED270B51ED270B)
     bands = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         bands = mix64(bands * _MULT + out[:, r::ROWS])
@@ -412,7 +414,8 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     concerned = repeated.join(root, "node", "left_anti").union(root.select("node", "root"))
     named = cut(lines.join(concerned, F.col("name") == F.col("node")).select("doc_id", "mark", "line_no", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line_no")
-    first = named.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("first"))
+    # written, so that the join with a very common line can be split
+    first = cut(named.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("first")))
     late = named.join(first, F.col("root") == F.col("r")).where(order != F.col("first"))
     gone = late.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("k")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     sizes = rows.select("doc_id", "mark", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
