@@ -10,13 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accepted forms of time stamps, after RFC 3339.
-TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH", "yyyy-MM-dd HH", "yyyy-MM-dd"]
+# Accepted forms of time stamps without a zone, taken as UTC. RFC 3339 is tried first.
+NAIVE_FORMS = ["y-M-d'T'H:m:s[.SSSSSS]", "y-M-d H:m:s[.SSSSSS]", "y-M-d'T'H:m", "y-M-d H:m", "y-M-d'T'H", "y-M-d H", "y-M-d"]
+
+
+def div(a: Column, b: Column) -> Column:
+    """Integral division, exact over all of a long."""
+    return F.call_function("div", a, b)
 
 
 def parse_time(c: Column) -> Column:
-    """RFC 3339, then naive forms down to a date, as UTC; null if none fits."""
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS))
+    """RFC 3339, then naive forms down to a date, as UTC; null if none fits. Fractions of a second have any length, and count to the microsecond."""
+    short = F.regexp_replace(c, r"(\.[0-9]{6})[0-9]+", "$1")
+    naive = F.concat(short, F.lit("Z"))
+    return F.coalesce(F.try_to_timestamp(short, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")), *(F.try_to_timestamp(naive, F.lit(f"{f}X")) for f in NAIVE_FORMS))
 
 
 def format_time(c: Column) -> Column:
@@ -27,7 +34,8 @@ def format_time(c: Column) -> Column:
 def from_unit(c: Column, unit: str) -> Column:
     """A time stamp from a count of s, ms, us or ns since the epoch."""
     if unit == "ns":
-        return F.timestamp_micros(F.floor(c / 1000).cast("long"))
+        n = c.cast("long")
+        return F.timestamp_micros(div(n - F.pmod(n, F.lit(1000).cast("long")), F.lit(1000).cast("long")))
     return {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[unit](c)
 
 
@@ -67,10 +75,12 @@ def preview(c: Column, chars: int = 100) -> Column:
 
 
 def url_allowed(url: Column, patterns: list[str]) -> Column:
-    """Exact, `prefix/*`, or a path prefix."""
+    """Equal to a pattern, below it as a path, or if the pattern ends in `/*`, starting with what comes before that."""
     out = F.lit(False)
     for p in patterns:
-        out = out | (F.startswith(url, F.lit(p[:-1])) | (url == p[:-2]) if p.endswith("/*") else (url == p) | F.startswith(url, F.lit(p.rstrip("/") + "/")))
+        out = out | (url == p) | F.startswith(url, F.lit(f"{p}/"))
+        if p.endswith("/*"):
+            out = out | F.startswith(url, F.lit(p[:-2]))
     return out
 
 
@@ -87,33 +97,57 @@ def gcd_column(a: Column, b: Column) -> Column:
 
 def lcm_column(a: Column, b: Column) -> Column:
     g = gcd_column(a, b)
-    return F.when(g == 0, F.lit(0).cast("long")).otherwise((F.abs(a) / F.when(g == 0, 1).otherwise(g)).cast("long") * F.abs(b).cast("long"))
+    return F.when(g == 0, F.lit(0).cast("long")).otherwise(div(F.abs(a).cast("long"), F.when(g == 0, F.lit(1).cast("long")).otherwise(g)) * F.abs(b).cast("long"))
 
 
 def trunc_number(c: Column) -> Column:
     return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
 
 
-def _crc_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32)
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What one byte does, and what two bytes do."""
+    one = np.arange(256, dtype=np.uint32)
     for _ in range(8):
-        table = np.where(table & 1, (table >> 1) ^ np.uint32(0x82F63B78), table >> 1)
-    return table
-
-
-_CRC = _crc_table()
+        one = np.where(one & 1, (one >> 1) ^ np.uint32(0x82F63B78), one >> 1)
+    two = np.arange(65536, dtype=np.uint32)
+    for _ in range(2):
+        two = one[two & 255] ^ (two >> 8)
+    return one, two
+
+
+_ONE, _TWO = _crc_tables()
+
+
+def crc32c_many(data: list[bytes]) -> np.ndarray:
+    """CRC-32C of each, all side by side, two bytes a step."""
+    sizes = np.array([len(x) for x in data], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    sizes, crc = sizes[order], np.full(len(data), 0xFFFFFFFF, np.uint32)
+    flat = np.frombuffer(b"".join([data[k] for k in order]), np.uint8)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(data) else sizes
+    live = len(data)
+    for at in range(0, int(sizes[0]) - 1 if len(data) else 0, 2):
+        while live and sizes[live - 1] < at + 2:  # the shortest come last
+            live -= 1
+        here = starts[:live] + at
+        word = flat[here].astype(np.uint32) | flat[here + 1].astype(np.uint32) << np.uint32(8)
+        crc[:live] = _TWO[(crc[:live] ^ word) & 0xFFFF] ^ (crc[:live] >> 16)
+    odd = np.flatnonzero(sizes % 2)
+    crc[odd] = _ONE[(crc[odd] ^ flat[starts[odd] + sizes[odd] - 1]) & 255] ^ (crc[odd] >> 8)
+    out = np.empty(len(data), np.uint32)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def crc32c_bytes(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    table = _CRC.tolist()
-    for b in data:
-        crc = table[(crc ^ b) & 255] ^ (crc >> 8)
-    return crc ^ 0xFFFFFFFF
+    return int(crc32c_many([data])[0])
 
 
 @F.pandas_udf(T.LongType())
 def crc32c(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CRC-32C of UTF-8 text; Spark has the other polynomial only."""
     for s in parts:
-        yield s.map(lambda x: None if x is None else crc32c_bytes(x.encode() if isinstance(x, str) else bytes(x)))
+        there = s.notna()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        out[there] = crc32c_many([x.encode() if isinstance(x, str) else bytes(x) for x in s[there]]).astype(np.int64)
+        yield out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 384
+BLOCK_BYTES = 64 << 20
 
 
 def embed(text: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -45,13 +46,14 @@ def search(items: DataFrame, query: list[float], k: int, vector: str = "embeddin
 
 
 def search_all(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", item_id: str = "vec_id", query_id: str = "query_id") -> DataFrame:
-    """The k best items for each row of a stated query set; queries go to the items in blocks of bounded size."""
-    dims = queries.agg(F.max(F.size(vector))).first()[0] or 1
-    block = max(1, (64 << 20) // (8 * dims))
-    held = [(r[0], np.array(r[1], np.float64)) for r in queries.select(query_id, vector).where(F.col(vector).isNotNull()).toLocalIterator()]
-    out = None
-    for s in range(0, len(held), block):
-        part = held[s : s + block]
+    """The k best items for each row of a stated query set; queries go to the items in blocks of BLOCK_BYTES, of which the driver holds one."""
+    there = queries.select(query_id, vector).where(F.col(vector).isNotNull())
+    size = there.agg(F.sum(F.size(vector) * 8)).first()[0] or 0
+    blocks, out = -(-size // BLOCK_BYTES), None
+    for s in range(blocks):
+        part = [(r[0], np.array(r[1], np.float64)) for r in there.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == s).collect()]
+        if not part:
+            continue
 
         def best(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             ids, q = np.array([x[0] for x in part]), np.vstack([x[1] for x in part])

@@ -75,7 +75,7 @@ class Http:
         self.urls, self.methods = config.get("urls", []), [m.upper() for m in config.get("methods", ["GET"])]
 
     def allowed(self, method: str, url: str) -> bool:
-        return method.upper() in self.methods and any(url == p or (url.startswith(p[:-1]) or url == p[:-2] if p.endswith("/*") else url.startswith(p.rstrip("/") + "/")) for p in self.urls)
+        return method.upper() in self.methods and any(url == p or url.startswith(f"{p}/") or p.endswith("/*") and url.startswith(p[:-2]) for p in self.urls)
 
     def request(self, method: str, url: str, body: str = "") -> dict:
         if not self.allowed(method, url):

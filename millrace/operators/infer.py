@@ -5,7 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from millrace.types import CoercionError, Kind, coerce, group, listed, mapped, prim
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.types import CoercionError, Kind, coerce, group, kind_of, listed, mapped, prim
 
 
 def value_kind(value: object) -> Kind:
@@ -56,3 +60,9 @@ def infer_schema(rows: list[dict]) -> Kind:
         for k, v in r.items():
             seen.setdefault(k, []).append(value_kind(v))
     return group(*((n, reduce(coerce, seen[n]), len(seen[n]) < len(rows) or any(k.name == "Null" for k in seen[n])) for n in sorted(seen)))
+
+
+def infer_json(df: DataFrame, column: str) -> Kind:
+    """The common type of a column of JSON texts, merged on the executors; the driver gets one type. Fields are in order of name."""
+    made = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(f"`{column}`")))).first()[0]
+    return kind_of(T._parse_datatype_string(made.replace("OBJECT<", "STRUCT<")))

@@ -1,7 +1,8 @@
 """Modules: typed user functions row -> Result<row>, run in Arrow batches with the error of each row kept apart.
 
 A run gives one frame of records: index, input, status, output, error, logs. ``successes``, ``failures`` and ``logs`` are
-filters of it. An exception fails its row only. Isolation is that of Python worker processes; there is no sandbox.
+filters of it; where several of them are wanted, ``run_once`` writes the records, so that the function isn't run again for
+each. An exception fails its row only. Isolation is that of Python worker processes; there is no sandbox.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators.capability import Capability, resource
 from millrace.operators.repair import project_repair
+from millrace.storage import cut
 from millrace.types import kind_of
 
 
@@ -47,18 +49,22 @@ def record_schema(m: Module) -> T.StructType:
     return T.StructType([T.StructField("index", T.LongType()), T.StructField("input", m.inputs), T.StructField("status", T.StringType()), T.StructField("output", m.outputs), T.StructField("error", T.StringType()), T.StructField("logs", T.ArrayType(T.StringType()))])
 
 
-def call(m: Module, row: dict, caps: dict | None = None) -> tuple[dict | None, str | None, list[str]]:
-    """(output, error, logs) of one row."""
-    logs: list[str] = []
-    wants = inspect.signature(m.function).parameters
-    extra = {k: v for k, v in (("log", logs.append), ("caps", caps or {})) if k in wants}
-    try:
-        made = m.function(**row, **extra)
-        if not isinstance(made, dict):
-            made = {m.outputs[0].name: made}
-        return {f.name: made.get(f.name) for f in m.outputs}, None, logs
-    except Exception as e:
-        return None, str(e) or type(e).__name__, logs
+def caller(m: Module, caps: dict | None = None) -> Callable[[dict], tuple[dict | None, str | None, list[str]]]:
+    """A function row -> (output, error, logs); what the module wants is looked up once."""
+    wants, fields = inspect.signature(m.function).parameters, [f.name for f in m.outputs]
+    with_log, extra = "log" in wants, {"caps": caps or {}} if "caps" in wants else {}
+
+    def call(row: dict) -> tuple[dict | None, str | None, list[str]]:
+        logs: list[str] = []
+        try:
+            made = m.function(**row, **extra, log=logs.append) if with_log else m.function(**row, **extra)
+            if not isinstance(made, dict):
+                made = {fields[0]: made}
+            return {f: made.get(f) for f in fields}, None, logs
+        except Exception as e:
+            return None, str(e) or type(e).__name__, logs
+
+    return call
 
 
 def run(df: DataFrame, m: Module, index: str = "index") -> DataFrame:
@@ -69,12 +75,12 @@ def run(df: DataFrame, m: Module, index: str = "index") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caps = {c.name: resource(c) for c in m.capabilities}
+        call = caller(m, {c.name: resource(c) for c in m.capabilities})
         for b in batches:
             out = []
             for r in b.to_pylist():
                 i, error = r.pop(index), r.pop("_error")
-                made, failure, logs = (None, error, []) if error else call(m, r, caps)
+                made, failure, logs = (None, error, []) if error else call(r)
                 out.append({"index": i, "input": r, "status": "failure" if failure else "success", "output": made, "error": failure, "logs": logs})
             try:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -89,6 +95,11 @@ def run(df: DataFrame, m: Module, index: str = "index") -> DataFrame:
     return ready.mapInArrow(rows, schema)
 
 
+def run_once(df: DataFrame, m: Module, index: str = "index") -> DataFrame:
+    """The same, written to the shared folder."""
+    return cut(run(df, m, index))
+
+
 def successes(records: DataFrame) -> DataFrame:
     return records.where("status = 'success'").select("index", "output.*")
 
@@ -103,13 +114,15 @@ def logs(records: DataFrame) -> DataFrame:
 
 
 def assemble(inputs: DataFrame, log: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Records joined up by index: a success needs an output; a failure its log entry; with neither, no record is known."""
+    """Records joined up by index: a success needs an output; a failure its log entry; with neither, no record is known. A record
+    whose input is gone keeps its output or failure."""
     i = inputs.select("index", F.struct(*(c for c in inputs.columns if c != "index")).alias("input"))
     l = log.select(F.col("row_index").alias("l_index"), "module_logs", "failure")  # noqa: E741
     o = outputs.select(F.col("index").alias("o_index"), F.struct(*(c for c in outputs.columns if c != "index")).alias("output"))
-    joined = i.join(l, F.col("index") == F.col("l_index"), "left").join(o, F.col("index") == F.col("o_index"), "left")
+    l_o = l.join(o, F.col("l_index") == F.col("o_index"), "full").withColumn("k", F.coalesce("l_index", "o_index"))
+    joined = i.join(l_o, F.col("index") == F.col("k"), "full")
     status = F.when(F.col("failure").isNotNull(), "failure").when(F.col("o_index").isNotNull(), "success").otherwise("not_found")
-    return joined.select("index", "input", status.alias("status"), "output", F.col("failure").alias("error"), F.coalesce("module_logs", F.array().cast("array<string>")).alias("logs"))
+    return joined.select(F.coalesce("index", "k").alias("index"), "input", status.alias("status"), "output", F.col("failure").alias("error"), F.coalesce("module_logs", F.array().cast("array<string>")).alias("logs"))
 
 
 def tally(records: DataFrame) -> DataFrame:

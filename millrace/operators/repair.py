@@ -177,6 +177,41 @@ def extend(a: DataFrame, *columns: Column, names: list[str]) -> DataFrame:
     return a.select("*", *(c.alias(n) for c, n in zip(columns, names, strict=True)))
 
 
+def put(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """A column inserted at the end, or replaced where it is."""
+    have = {c.lower(): c for c in df.columns}
+    if name.lower() not in have:
+        return df.select("*", column.alias(name))
+    return df.select(*(column.alias(c) if c == have[name.lower()] else F.col(f"`{c}`") for c in df.columns))
+
+
+def is_null(df: DataFrame, path: str) -> Column:
+    """Whether the field at a dotted path is null, or can't be reached."""
+    return deep_get(df, path).isNull()
+
+
+def integers(c: Column, item: Kind, force: bool = False) -> Column:
+    """A list's numbers as wide integers. Other items are left out; if forced, floats are truncated, and what can't be a number is null."""
+    wide = "decimal(20,0)"
+    if item.name in {*SIGNED, *UNSIGNED}:
+        return F.transform(c, lambda x: x.cast(wide))
+    if not force:
+        return F.filter(F.transform(c, lambda x: F.lit(None).cast(wide)), lambda x: x.isNotNull())
+    if item.name in FLOATS:
+        whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+        return F.transform(c, lambda x: F.when(~F.isnan(x), whole(x.cast("double"))).try_cast(wide))
+    return F.transform(c, lambda x: x.cast("int").cast(wide) if item.name == "Bool" else x.try_cast(wide))
+
+
+def floats(c: Column, item: Kind, force: bool = False) -> Column:
+    """A list's numbers as doubles. Integers are taken only if forced, and so is text; what can't be a number is null."""
+    if item.name in FLOATS:
+        return F.transform(c, lambda x: x.cast("double"))
+    if not force:
+        return F.filter(F.transform(c, lambda x: F.lit(None).cast("double")), lambda x: x.isNotNull())
+    return F.transform(c, lambda x: x.cast("int").cast("double") if item.name == "Bool" else x.try_cast("double"))
+
+
 def assert_not_null(df: DataFrame, columns: list[str], error: str = "_error") -> DataFrame:
     bad = F.coalesce(*(F.when(F.col(f"`{c}`").isNull(), F.lit(f"{c}: Null")) for c in columns))
     return df.withColumn(error, F.coalesce(F.col(error), bad) if error in df.columns else bad)

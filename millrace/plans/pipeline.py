@@ -21,28 +21,38 @@ LOGS = T.StructType([T.StructField("row_index", T.LongType()), T.StructField("mo
 
 
 class Pipeline:
-    """``path`` holds the tables `inputs`, `outputs` and `logs`; all three share one index."""
+    """``path`` holds the tables `inputs`, `outputs` and `logs`; all three share one index. ``targets``: pipelines that run on
+    this one's successes and store them under the same index."""
 
-    def __init__(self, spark: SparkSession, path: str, module: Module, callbacks: list[Callable[[int, dict], None]] | None = None):
+    def __init__(self, spark: SparkSession, path: str, module: Module, callbacks: list[Callable[[int, dict], None]] | None = None, targets: list[Pipeline] | None = None):
         if module.kind != "normal":
             raise ValueError("sessions run in millrace.streaming.session")
-        self.spark, self.module, self.callbacks = spark, module, callbacks or []
+        self.spark, self.module, self.callbacks, self.targets = spark, module, callbacks or [], targets or []
         self.inputs = Table(spark, f"{path}/inputs", module.inputs, "_input_meta")
         self.outputs = Table(spark, f"{path}/outputs", module.outputs, "_output_meta")
         self.logs = Table(spark, f"{path}/logs", LOGS, "_log_meta")
 
     def run(self, df: DataFrame, order: list | None = None) -> DataFrame:
         """Runs the module over rows and stores inputs, outputs and logs; the new records."""
-        first = self.inputs.length()
+        first = self.inputs.next_index()
         self.inputs.append(project(df, kind_of(self.module.inputs)) if order is None else df, order)
         new = self.inputs.scan().where(F.col("_input_meta.index") >= first)
-        ready = new.select(F.col("_input_meta.index").alias("index"), *(f"`{f.name}`" for f in self.module.inputs))
-        records = modules.run(ready, self.module).persist()
+        return self._finish(new.select(F.col("_input_meta.index").alias("index"), *(f"`{f.name}`" for f in self.module.inputs)))
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        """Runs the module over rows that have an index already, in a column `index`; the new records."""
+        self.inputs.append(rows, index="index")
+        return self._finish(rows)
+
+    def _finish(self, ready: DataFrame) -> DataFrame:
+        records = modules.run_once(ready, self.module)
         good = modules.successes(records)
-        if self.callbacks:
-            replay.with_callbacks(good, self.callbacks)
         self.outputs.append(good, index="index")
         self.logs.append(modules.logs(records).withColumn("index", F.col("row_index")), index="index")
+        if self.callbacks:
+            replay.with_callbacks(good, self.callbacks)
+        for target in self.targets:
+            target.accept(good)
         return records
 
     def bulk(self, path: str) -> DataFrame:
@@ -58,7 +68,7 @@ class Pipeline:
 
     def stream(self, df: DataFrame, checkpoint: str):
         """Each micro-batch is one commit."""
-        return replay.drain(df, lambda b, _: self.run(b).unpersist() and None, checkpoint)
+        return replay.drain(df, lambda b, _: self.run(b) and None, checkpoint)
 
     def record(self, index: int) -> dict:
         """Success or failure of one index; NotFound if neither output nor log knows it."""
@@ -86,7 +96,7 @@ class Pipeline:
         return {"inputs": self.inputs.length(), "outputs": self.outputs.length(), "logs": self.logs.length()}
 
     def write_results(self, records: DataFrame, folder: str, fmt: str = "jsonl") -> None:
-        """success.<fmt>, errors as JSON lines (row_index, error, partial_data), logs."""
+        """success.<fmt> in order of rows, errors as JSON lines (row_index, error, partial_data), logs. The order is a range sort, in parts."""
         good = modules.successes(records).orderBy("index").drop("index")
         files.export(good, f"{folder}/success.{fmt}", fmt)
         files.write_jsonl(modules.failures(records), f"{folder}/errors.jsonl")

@@ -1,8 +1,13 @@
-"""SQL over tables: `data` for one table, `pipeline` for inputs joined with outputs by index."""
+"""SQL over tables: `data` for one table, `pipeline` for inputs joined with outputs by index.
+
+A statement sees its tables as common table expressions, so no view of the caller's session is touched, whatever its name.
+Besides SELECT, `data` takes EXPLAIN of a SELECT, DESCRIBE data, SHOW COLUMNS and SHOW TABLES.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +59,40 @@ def validate_pipeline(spark: SparkSession, sql: str) -> None:
     for bad in ("Join", "LateralJoin", "Union", "Intersect", "Except", "UnresolvedWith"):
         if bad in names:
             raise SqlError(f"{bad} isn't allowed on pipeline")
-    if re.search(r"\bjoin\b", re.sub(r"'(?:[^']|'')*'", "''", sql), re.I):
-        raise SqlError("Join isn't allowed on pipeline")
     text = re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan.toString())
     if not text or any(t.lower() != "pipeline" for t in text):
         raise SqlError(f"the table must be pipeline, not {text}")
 
 
+def with_tables(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """Runs a SELECT in which ``tables`` have those names."""
+    held = {name: f"millrace_{uuid.uuid4().hex}" for name in tables}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(held[name])
+    try:
+        ctes = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in held.items())
+        own = re.match(r"\s*WITH\b(\s+RECURSIVE\b)?", sql, re.I)
+        return spark.sql(f"WITH{(own[1] or '') if own else ''} {ctes}{',' if own else ''} {sql[own.end() :] if own else sql}")
+    finally:
+        for view in held.values():
+            spark.catalog.dropTempView(view)
+
+
 def query_data(table: DataFrame, sql: str) -> DataFrame:
-    spark = table.sparkSession
-    validate_data(spark, sql)
-    table.createOrReplaceTempView("data")
-    return spark.sql(sql)
+    spark, text = table.sparkSession, sql.strip().rstrip(";")
+    if m := re.match(r"EXPLAIN\b(\s+(EXTENDED|FORMATTED|COST|CODEGEN)\b)?\s*(.*)$", text, re.I | re.S):
+        validate_data(spark, m[3])
+        mode = (m[2] or "simple").lower()
+        plan = with_tables(spark, {"data": table}, m[3])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        return spark.createDataFrame([(plan,)], "plan string")
+    if re.match(r"(DESC|DESCRIBE)(\s+TABLE)?\s+`?data`?$", text, re.I):
+        return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in table.schema], "col_name string, data_type string, is_nullable boolean")
+    if re.match(r"SHOW\s+COLUMNS\s+(IN|FROM)\s+`?data`?$", text, re.I):
+        return spark.createDataFrame([(c,) for c in table.columns], "col_name string")
+    if re.match(r"SHOW\s+TABLES$", text, re.I):
+        return spark.createDataFrame([("data",)], "table_name string")
+    validate_data(spark, text)
+    return with_tables(spark, {"data": table}, text)
 
 
 def pipeline_view(tables: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -90,5 +117,4 @@ def pipeline_view(tables: list[tuple[DataFrame, str]]) -> DataFrame:
 
 def query_pipeline(spark: SparkSession, tables: list[tuple[DataFrame, str]], sql: str) -> DataFrame:
     validate_pipeline(spark, sql)
-    pipeline_view(tables).createOrReplaceTempView("pipeline")
-    return spark.sql(sql)
+    return with_tables(spark, {"pipeline": pipeline_view(tables)}, sql)

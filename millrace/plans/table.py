@@ -3,7 +3,11 @@
 A row carries `{prefix}: struct<index, timestamp>`; indexes are dense and grow in append order. Files of a commit are
 sorted by index and partitioned by `part = index div PART_ROWS`, so a page or point lookup prunes folders and row groups.
 Commits are written beside the data and take effect by one rename of a manifest, so readers always see a whole snapshot;
-compaction writes new files, swaps the manifest, and keeps the old files until they are retired.
+compaction writes new files, swaps the manifest, and keeps the old files until they are retired, which passes over what a
+pinned reader still needs.
+
+Single rows may be ``put``: they wait in the writer's memory, ``capacity`` at most, and are seen by its own scans before they
+are committed.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.storage import cut, fresh
+
 PART_ROWS = 1_000_000
 
 
@@ -28,26 +36,22 @@ def meta(prefix: str) -> str:
 
 
 def with_index(df: DataFrame, order: list[Column | str], start: int = 0, column: str = "index") -> DataFrame:
-    """Dense indexes from ``start`` in the given order, without a one-task window: range partitions, their counts, offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    ranged = ranged.persist()
-    counts = ranged.groupBy("__part").count().collect()  # one row per partition
-    offsets, at = {}, start
-    for r in sorted(counts, key=lambda r: r["__part"]):
-        offsets[r["__part"]] = at
-        at += r["count"]
-    if not offsets:
-        return df.withColumn(column, F.lit(None).cast("long"))
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("__part"))
-    return ranged.withColumn(column, (base + F.col("__at")).cast("long")).drop("__part", "__at")
+    """Dense indexes from ``start`` in the given order, without a one-task window over rows: range partitions are written with
+    each row's place in them, and a table of their offsets, one row for each, is joined."""
+    part, at, base = (fresh(df.columns, f"__{x}") for x in ("part", "at", "base"))
+    row = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({part: F.shiftright(row, 33).cast("int"), at: row.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy(part).count().select(part, (F.coalesce(before, F.lit(0)) + start).alias(base))
+    return ranged.join(offsets, part).withColumn(column, F.col(base) + F.col(at)).drop(part, at, base)
 
 
 class Table:
     """``path`` may be in any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, prefix: str = "_output_meta"):
-        self.spark, self.path, self.prefix = spark, path.rstrip("/"), prefix
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, prefix: str = "_output_meta", capacity: int = 1000):
+        self.spark, self.path, self.prefix, self.capacity, self.hot = spark, path.rstrip("/"), prefix, capacity, []
         kind = T.StructType([T.StructField("index", T.LongType()), T.StructField("timestamp", T.TimestampType())])
         self.schema = T.StructType([*(f for f in schema if f.name != prefix), T.StructField(prefix, kind)])
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -74,14 +78,40 @@ class Table:
             raise RuntimeError("another writer has committed; append again")
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"commits/{uuid.uuid4().hex}"
+        name = f"commits/__commit={uuid.uuid4().hex}"
         index = F.col(f"{self.prefix}.index")
         placed = rows.withColumn("__part", F.expr(f"{self.prefix}.index div {PART_ROWS}"))
         placed.sortWithinPartitions("__part", index).write.partitionBy("__part").parquet(f"{self.path}/{name}")
         return name
 
+    def put(self, row: dict) -> int:
+        """One row, which waits in memory until ``capacity`` rows do; its index."""
+        self.hot.append(row)
+        index = self._manifest()["next"] + len(self.hot) - 1
+        if len(self.hot) >= self.capacity:
+            self.flush()
+        return index
+
+    def flush(self) -> None:
+        """Commits the rows that wait."""
+        waiting, self.hot = self.hot, []
+        if waiting:
+            self.append(self._frame(waiting).coalesce(1))
+
+    def _frame(self, rows: list[dict]) -> DataFrame:
+        kind = T.StructType([f for f in self.schema if f.name != self.prefix])
+        return self.spark.createDataFrame([tuple(r.get(f.name) for f in kind) for r in rows], kind)
+
+    def _waiting(self, m: dict) -> DataFrame:
+        stamp = F.struct((F.col("__i") + m["next"]).cast("long").alias("index"), F.current_timestamp().alias("timestamp"))
+        kind = T.StructType([*(f for f in self.schema if f.name != self.prefix), T.StructField("__i", T.LongType())])
+        rows = [(*(r.get(f.name) for f in kind[:-1]), i) for i, r in enumerate(self.hot)]
+        return self.spark.createDataFrame(rows, kind).withColumn(self.prefix, stamp).drop("__i")
+
     def append(self, df: DataFrame, order: list[Column | str] | None = None, index: str | None = None) -> None:
         """Adds rows; indexes continue in ``order`` (else in the frame's order), or are taken from the column ``index``."""
+        if self.hot and index is None:
+            self.flush()
         m = self._manifest()
         if index is None:
             kept = df.select("*") if order else df.withColumn("__seq", F.monotonically_increasing_id())
@@ -89,45 +119,71 @@ class Table:
         stamped = df.withColumn(self.prefix, F.struct(F.col(index).cast("long").alias("index"), F.current_timestamp().alias("timestamp")))
         rows = stamped.select(*((F.col(f"`{f.name}`") if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema))
         name = self._write(rows)
-        written = self.spark.read.schema(self._read_schema()).parquet(f"{self.path}/{name}").agg(F.count("*"), F.max(f"{self.prefix}.index")).first()
+        written = self._parts({"commits": [name]}).agg(F.count("*"), F.max(f"{self.prefix}.index")).first()
         if written[0]:
             self._commit(m | {"commits": [*m["commits"], name], "next": max(m["next"], written[1] + 1), "rows": m["rows"] + written[0]})
 
     def _read_schema(self) -> T.StructType:
-        return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in self.schema), T.StructField("__part", T.LongType())])
+        return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in self.schema), T.StructField("__commit", T.StringType()), T.StructField("__part", T.LongType())])
 
     def scan(self) -> DataFrame:
-        """The newest snapshot."""
+        """The newest snapshot, and rows that wait in this writer's memory."""
         m = self._manifest()
         if not m["commits"]:
-            return self.spark.createDataFrame([], self.schema)
-        return self._parts(m).drop("__part")
+            return self._waiting(m) if self.hot else self.spark.createDataFrame([], self.schema)
+        out = self._parts(m).drop("__part", "__commit")
+        return out.unionByName(self._waiting(m)) if self.hot else out
 
     def _parts(self, m: dict) -> DataFrame:
-        frames = [self.spark.read.schema(self._read_schema()).parquet(f"{self.path}/{c}") for c in m["commits"]]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        """All commits in one read, so that the plan doesn't grow with them."""
+        return self.spark.read.schema(self._read_schema()).option("basePath", f"{self.path}/commits").parquet(*(f"{self.path}/{c}" for c in m["commits"]))
+
+    @contextmanager
+    def pinned(self) -> Iterator[DataFrame]:
+        """The newest snapshot, whose files no ``retire`` deletes until the block is left."""
+        m = self._manifest()
+        mark = self._p(f"_readers/{uuid.uuid4().hex}.{m['version']}")
+        self._fs.create(mark).close()
+        try:
+            yield self._parts(m).drop("__part", "__commit") if m["commits"] else self.spark.createDataFrame([], self.schema)
+        finally:
+            self._fs.delete(mark, False)
+
+    def _pinned_versions(self) -> set[int]:
+        if not self._fs.exists(self._p("_readers")):
+            return set()
+        return {int(s.getPath().getName().rpartition(".")[2]) for s in self._fs.listStatus(self._p("_readers"))}
+
+    def file_ranges(self) -> DataFrame:
+        """file, low, high, n: the indexes that each file holds; from statistics that the scan prunes to one column."""
+        m = self._manifest()
+        i = F.col(f"{self.prefix}.index")
+        return self._parts(m).groupBy(F.input_file_name().alias("file")).agg(F.min(i).alias("low"), F.max(i).alias("high"), F.count("*").alias("n"))
+
+    def next_index(self) -> int:
+        return self._manifest()["next"] + len(self.hot)
 
     def length(self) -> int:
-        return self._manifest()["rows"]
+        return self._manifest()["rows"] + len(self.hot)
 
     def page(self, offset: int, limit: int) -> DataFrame:
         """Rows offset .. offset + limit - 1 in index order; where indexes are dense this is a range that prunes."""
+        self.flush()
         m = self._manifest()
         if not m["commits"]:
             return self.scan()
         i = F.col(f"{self.prefix}.index")
         if m["rows"] == m["next"]:
             inside = (i >= offset) & (i < offset + limit) & F.col("__part").between(offset // PART_ROWS, (offset + limit) // PART_ROWS)
-            return self._parts(m).where(inside).drop("__part").orderBy(i)
-        return self._parts(m).drop("__part").orderBy(i).offset(offset).limit(limit)
+            return self._parts(m).where(inside).drop("__part", "__commit").orderBy(i)
+        return self._parts(m).drop("__part", "__commit").orderBy(i).offset(offset).limit(limit)
 
     def get(self, index: int) -> dict:
         """The row with that index, else NotFound."""
         m = self._manifest()
-        rows = self._parts(m).where((F.col("__part") == index // PART_ROWS) & (F.col(f"{self.prefix}.index") == index)).drop("__part").limit(1).collect() if m["commits"] else []
+        if 0 <= index - m["next"] < len(self.hot):
+            return self._waiting(m).where(F.col(f"{self.prefix}.index") == index).first().asDict(recursive=True)
+        rows = self._parts(m).where((F.col("__part") == index // PART_ROWS) & (F.col(f"{self.prefix}.index") == index)).drop("__part", "__commit").limit(1).collect() if m["commits"] else []
         if not rows:
             raise NotFound(index)
         return rows[0].asDict(recursive=True)
@@ -136,13 +192,17 @@ class Table:
         """All commits into one, sorted by index; readers of older snapshots aren't disturbed."""
         m = self._manifest()
         if len(m["commits"]) > 1:
-            rows = self._parts(m).drop("__part").repartitionByRange(F.col(f"{self.prefix}.index"))
+            rows = self._parts(m).drop("__part", "__commit").repartitionByRange(F.col(f"{self.prefix}.index"))
             self._commit(m | {"commits": [self._write(rows)]})
 
     def retire(self, older_than_s: float = 86_400) -> int:
-        """Deletes commits that no newer manifest names, and manifests before it, once they are old enough."""
+        """Deletes commits that neither the newest manifest nor a pinned reader's names, and manifests before it, once they are old enough."""
         m, gone, now = self._manifest(), 0, time.time() * 1000
-        for place, keep in (("commits", {c.rpartition("/")[2] for c in m["commits"]}), ("_manifests", {f"{m['version']:012d}.json"})):
+        held = {m["version"]: m}
+        for v in self._pinned_versions() - {m["version"], 0}:
+            held[v] = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/_manifests/{v:012d}.json", wholetext=True).collect()))
+        commits = {c.rpartition("/")[2] for x in held.values() for c in x["commits"]}
+        for place, keep in (("commits", commits), ("_manifests", {f"{v:012d}.json" for v in held})):
             if self._fs.exists(self._p(place)):
                 for s in self._fs.listStatus(self._p(place)):
                     if s.getPath().getName() not in keep and now - s.getModificationTime() >= older_than_s * 1000:

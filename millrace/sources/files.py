@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import socket
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.storage import cut
+
 FORMATS = ("ipc", "arrow", "parquet", "csv", "json", "jsonl")
-SAMPLE_BYTES = 1 << 20
+# Fixed value: rows that a CSV file's types are inferred from.
+SAMPLE_ROWS = 100
 DRIVER_BYTES = 1 << 30
 
 
@@ -50,29 +54,39 @@ def _json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path) if head and head[0][0].lstrip().startswith("[") else spark.read.json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header, comma, trimmed names, types from the rows, all nullable."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """Header, comma, trimmed names, all nullable. Types come from the first ``sample`` rows; a later value that doesn't fit is an error."""
+    reader = spark.read.option("header", True)
+    if schema is None:
+        head = [r[0] for r in spark.read.text(path).limit(sample + 1).collect()]
+        schema = spark.read.option("header", True).option("inferSchema", True).csv(spark.sparkContext.parallelize(head, 1)).schema
+        reader = reader.option("mode", "FAILFAST")
+    df = reader.schema(schema).csv(path)
     return df.toDF(*(c.strip() for c in df.columns))
 
 
 def read_ipc(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, all batches; read on the executors, a task per file, so no file passes the driver."""
-    files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").limit(1).collect()
-    if not first:
-        raise FileError(f"Empty: {path}")
-    schema = pa.ipc.open_file(pa.BufferReader(first[0][0])).schema
+    """Arrow IPC files, all batches; read on the executors, a task per file. Only the first file's schema comes to the driver."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    files = spark.read.format("binaryFile").load(path)
+
+    def schemas(batches):
+        for b in batches:
+            for content in b.column(0):
+                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_file(pa.BufferReader(content.as_buffer())).schema.serialize().to_pybytes()]})
+
     def rows(batches):
         for b in batches:
             for content in b.column(0):
-                reader = pa.ipc.open_file(pa.BufferReader(content.as_py()))
+                reader = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
                 for k in range(reader.num_record_batches):
                     yield reader.get_batch(k)
 
+    first = files.select("content").limit(1).mapInArrow(schemas, "schema binary").collect()
+    if not first:
+        raise FileError(f"Empty: {path}")
+    schema = pa.ipc.read_schema(pa.BufferReader(bytes(first[0][0])))
     return files.select("content").mapInArrow(rows, from_arrow_schema(schema))
 
 
@@ -134,16 +148,31 @@ def _chunked(df: DataFrame, chunk: int | None):
 
 
 def to_ipc(df: DataFrame) -> bytes:
-    """A result as one Arrow file; an empty result keeps its schema. For results that fit the driver."""
-    table = df.toArrow()
-    if table.nbytes > DRIVER_BYTES:
+    """A result as one Arrow file; an empty result keeps its schema. For results that fit the driver: they are written and measured before they come to it."""
+    ready = cut(df)
+    size = ready.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in ready.columns))))), F.lit(0))).first()[0] if ready.columns else 0
+    if size > DRIVER_BYTES:
         raise FileError("the result is too large for one file; write parquet")
+    table = ready.toArrow()
     out = pa.BufferOutputStream()
     with pa.ipc.new_file(out, table.schema) as w:
         w.write_table(table.combine_chunks())
     return out.getvalue().to_pybytes()
 
 
+def rows_of(df: DataFrame) -> Iterator[dict]:
+    """Rows one after another, a partition at a time."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
+
+
+def row_of(df: DataFrame, i: int, names: list[str] | None = None) -> dict:
+    """The row at place ``i`` of the frame's order, all columns or those named; IndexError beyond its end."""
+    found = (df.select(*(f"`{n}`" for n in names)) if names else df).offset(i).limit(1).collect()
+    if not found:
+        raise IndexError(i)
+    return found[0].asDict(recursive=True)
+
+
 def write_ipc(df: DataFrame, path: str) -> None:
     Path(path).write_bytes(to_ipc(df))
 

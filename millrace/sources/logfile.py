@@ -11,10 +11,12 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.functions.scalar import crc32c_bytes
-from millrace.operators.infer import infer_schema
+from millrace.operators.infer import infer_json
 from millrace.sources.files import write_parquet
 
 
@@ -72,11 +74,23 @@ class LogFile:
         return len(gone)
 
 
+def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """index, record (JSON) of all segments of a folder in any file system; segments are read on the executors, a task for each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                first, found = int(path.rpartition("/")[2].partition(".")[0]), [json.dumps(r) for r in frames(content.as_buffer().to_pybytes())]
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(found)), pa.int64()), pa.array(found, pa.string())], names=["index", "record"])
+
+    place = folder if "://" in folder else f"file://{Path(folder).resolve()}"
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(place).select("path", "content").mapInArrow(rows, "index long, record string")
+
+
 def log_to_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """Recovered records under their inferred schema."""
-    rows = [r for _, r in LogFile(folder).read_all()]
-    schema = infer_schema(rows).spark()
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
+    """Recovered records in columns, under their common type."""
+    logs = scan_logs(spark, folder)
+    return logs.select("index", F.from_json("record", infer_json(logs, "record").spark()).alias("r")).orderBy("index").select("r.*")
 
 
 def log_to_parquet(spark: SparkSession, folder: str, path: str) -> None:

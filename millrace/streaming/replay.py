@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,45 @@ def replay(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "p
     return reader.option("header", True).csv(folder) if fmt == "csv" else reader.format({"jsonl": "json"}.get(fmt, fmt)).load(folder)
 
 
-def timed(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 0.0, jitter: float = 0.0, seed: int | None = None) -> StreamingQuery:
-    """A batch per interval; the jitter is drawn once, added or subtracted, and never makes it negative."""
-    pause = max(0.0, seconds + random.Random(seed).uniform(-jitter, jitter))
-    writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=f"{int(pause * 1000)} milliseconds").start()
+class TimedReplay:
+    """One row per interval, in the frame's order, in a thread. The jitter of each row is drawn anew, added or subtracted, and
+    never makes a pause negative. Rows come from Spark a partition at a time."""
+
+    def __init__(self, df: DataFrame, each: Callable[[dict], None], seconds: float = 0.0, jitter: float = 0.0, seed: int | None = None):
+        self.df, self.each, self.seconds, self.jitter, self.rng = df, each, seconds, jitter, random.Random(seed)
+        self.sent = self.failed = 0
+        self.error: str | None = None
+        self._stop, self._thread = threading.Event(), threading.Thread(target=self._run, daemon=True)
+
+    def _pause(self) -> float:
+        return max(0.0, self.seconds + self.rng.uniform(-self.jitter, self.jitter))
+
+    def _run(self) -> None:
+        try:
+            for row in self.df.toLocalIterator():
+                if self._stop.wait(self._pause()):
+                    return
+                try:
+                    self.each(row.asDict(recursive=True))
+                except Exception:
+                    self.failed += 1
+                self.sent += 1
+        except Exception as e:
+            self.error = str(e)
+
+    def start(self) -> TimedReplay:
+        self._thread.start()
+        return self
+
+    def stop(self) -> None:
+        self._stop.set()
+        self._thread.join()
+
+    def join(self, seconds: float | None = None) -> None:
+        self._thread.join(seconds)
+
+    def status(self) -> dict:
+        return {"active": self._thread.is_alive(), "sent": self.sent, "failed": self.failed, "stopped": self._stop.is_set(), "error": self.error}
 
 
 def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -30,12 +65,12 @@ def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str
 
 
 def parallel(df: DataFrame, in_flight: int, index: str = "index") -> DataFrame:
-    """At most ``in_flight`` tasks: rows dealt by index."""
-    return df.repartition(in_flight, F.col(index))
+    """``in_flight`` tasks; a row goes to task index % in_flight."""
+    return df.repartitionById(in_flight, F.pmod(F.col(index), F.lit(in_flight)).cast("int"))
 
 
 def progress(query: StreamingQuery) -> dict:
-    p = query.recentProgress
+    p = query.recentProgress  # ``query.stop()`` ends it; a restart goes on from its checkpoint
     return {"active": query.isActive, "batches": len(p), "rows": sum(x["numInputRows"] for x in p), "error": str(query.exception()) if query.exception() else None}
 
 

@@ -91,8 +91,8 @@ def kind_of(dtype: T.DataType) -> Kind:
         return group(*((f.name, kind_of(f.dataType), f.nullable) for f in dtype))
     if isinstance(dtype, T.MapType):
         return mapped(kind_of(dtype.keyType), kind_of(dtype.valueType))
-    if isinstance(dtype, T.DecimalType):
-        return prim("U64")
+    if isinstance(dtype, T.DecimalType):  # a decimal with a fraction, or wider than 64 bits, has no integer type here
+        return prim("U64" if dtype.scale == 0 and dtype.precision <= 20 else "F64")
     if isinstance(dtype, T.BinaryType):
         return listed(prim("U8"), False)
     if isinstance(dtype, T.DateType | T.TimestampNTZType):

@@ -14,11 +14,12 @@ from millrace import __main__ as command
 from millrace import types as k
 from millrace.functions import scalar, vector
 from millrace.operators import capability, infer, module, repair
+from millrace.operators.interconnect import Interconnect
 from millrace.operators.capability import Capability
 from millrace.operators.module import Failed, Module
 from millrace.plans import sqlview, table
 from millrace.plans.pipeline import Pipeline
-from millrace.sources import files, logfile
+from millrace.sources import files, ingress, logfile
 from millrace.streaming import replay, session
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
@@ -119,16 +120,22 @@ def test_time(spark):
     texts = ["2024-03-01T10:20:30Z", "2024-03-01T10:20:30+02:00", "2024-03-01 10:20:30.5", "2024-03-01T10:20", "2024-03-01 10", "2024-03-01", "nonsense"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalar.format_time(scalar.parse_time(F.col("t")))).collect()]
     assert got[0] == "2024-03-01T10:20:30.000000+00:00" and got[1].startswith("2024-03-01T08:20:30") and got[2].startswith("2024-03-01T10:20:30.500") and got[5].startswith("2024-03-01T00:00") and got[6] is None
+    assert [r[0] for r in spark.createDataFrame([("2024-01-01T00:00:00.123456789Z",), ("2024/01/02 03:04",)], "t string").select(F.unix_micros(scalar.parse_time(F.col("t")))).collect()] == [1704067200123456, None]
     assert str(spark.range(1).select(scalar.from_unit(F.lit(1_700_000_000_123_456_789), "ns").cast("string")).first()[0]) == "2023-11-14 22:13:20.123456"
 
 
 def test_scalar_functions(spark):
-    assert scalar.crc32c_bytes(b"123456789") == 0xE3069283
+    assert scalar.crc32c_bytes(b"123456789") == 0xE3069283 and scalar.crc32c_bytes(b"") == 0 and scalar.crc32c_bytes(bytes(32)) == 0x8A9136AA
+    many = [b"", b"123456789", b"a", bytes(32), b"123456789" * 1000, b"ab"]
+    assert scalar.crc32c_many(many).tolist() == [scalar.crc32c_bytes(x) for x in many]
+    assert [r[0] for r in spark.createDataFrame([("123456789",), (None,)], "t string").select(scalar.crc32c("t")).collect()] == [0xE3069283, None]
+    assert vector.embed(b"\xff\x00\xff", 2).round(4).tolist() == [1.0, 0.0] and abs(vector.embed(b"\xff\xff\xff", 2) - [0.894427, 0.447214]).max() < 1e-6
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(scalar.transform_text(F.lit("hello"), "[test] ", "!!!", True)) == "[TEST] HELLO!!!"
     assert one(scalar.embedding_text(F.lit("m"), F.array(F.lit(1), F.lit(2)))) == "Embedding of m has 2"
     assert one(scalar.preview(F.lit("word " * 40))) == ("word " * 20).strip() and one(scalar.preview(F.lit("x" * 150))) == "x" * 100
     assert [one(scalar.url_allowed(F.lit(u), ["http://a/x", "http://b/*"])) for u in ("http://a/x", "http://a/x/y", "http://a/xy", "http://b/q", "http://c")] == [True, True, False, True, False]
+    assert [one(scalar.url_allowed(F.lit(u), ["http://a/*"])) for u in ("http://abc", "http://a", "http://a/b", "https://a/b")] == [True, True, True, False]
     assert one(scalar.parse_unsigned(F.lit("18446744073709551615"))) == 2**64 - 1 and one(scalar.parse_unsigned(F.lit("-1"))) is None
     assert abs(float(vector.embed(b"abc").astype("float64") @ vector.embed(b"abc").astype("float64")) - 1) < 1e-6
     assert one(vector.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
@@ -207,6 +214,60 @@ def test_table(spark, tmp_path):
     assert t.length() == 7
 
 
+def test_pinned_readers_and_waiting_rows(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType())])
+    t = table.Table(spark, f"file://{tmp_path}/t", schema, capacity=3)
+    assert [t.put({"id": i}) for i in range(2)] == [0, 1] and t.length() == 2 and t.get(1)["id"] == 1 and t.scan().count() == 2
+    assert table.Table(spark, f"file://{tmp_path}/t", schema).length() == 0  # not committed yet
+    assert t.put({"id": 2}) == 2 and table.Table(spark, f"file://{tmp_path}/t", schema).length() == 3
+    t.append(spark.createDataFrame([(3,)], schema))
+    with t.pinned() as old:
+        t.compact()
+        t.retire(0)
+        assert sorted(r["id"] for r in old.collect()) == [0, 1, 2, 3]
+    assert t.retire(0) > 0 and [t.get(i)["id"] for i in range(4)] == [0, 1, 2, 3]
+    r = t.file_ranges().agg(F.min("low"), F.max("high"), F.sum("n")).first()
+    assert tuple(r) == (0, 3, 4)
+
+
+def test_sql_touches_no_views(spark):
+    for name in ("data", "pipeline", "events"):
+        spark.range(1).createOrReplaceTempView(name)
+    df = spark.range(7).withColumnRenamed("id", "n")
+    assert sqlview.query_data(df, "WITH t AS (SELECT n FROM DATA) SELECT count(*) AS c FROM t").first()["c"] == 7
+    assert [sqlview.query_data(df, x).count() for x in ("DESCRIBE data", "SHOW COLUMNS FROM data", "SHOW TABLES;", "explain formatted SELECT * FROM data")] == [1, 1, 1, 1]
+    for bad in ("EXPLAIN DROP TABLE data", "SHOW FUNCTIONS", "DESCRIBE other", "SET a = b"):
+        with pytest.raises(sqlview.SqlError):
+            sqlview.query_data(df, bad)
+    assert all(spark.table(name).columns == ["id"] for name in ("data", "pipeline", "events"))
+    for name in ("data", "pipeline", "events"):
+        spark.catalog.dropTempView(name)
+    # the word alone isn't a join
+    sqlview.validate_pipeline(spark, "SELECT id AS `join` FROM pipeline -- no join here")
+
+
+def test_rows_and_schemas(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").coalesce(1)
+    assert files.row_of(df, 1) == {"k": 2, "v": "b"} and files.row_of(df, 0, ["v"]) == {"v": "a"} and [r["k"] for r in files.rows_of(df)] == [1, 2]
+    with pytest.raises(IndexError):
+        files.row_of(df, 2)
+    texts = spark.createDataFrame([('{"a": 1, "b": [1]}',), ('{"a": 2.5, "c": "x"}',), ("null",)], "j string")
+    kind = infer.infer_json(texts, "j")
+    assert {n: x.name for n, x, _ in kind.args[0]}.keys() == {"a", "b", "c"}
+    assert k.kind_of(T.DecimalType(10, 2)) == p("F64") and k.kind_of(T.DecimalType(20, 0)) == p("U64")
+    (tmp_path / "odd.csv").write_text("v\n" + "1\n" * 150 + "x\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED"):
+        files.read_any(spark, f"file://{tmp_path}/odd.csv").collect()
+
+
+def test_orphaned_records(spark):
+    inputs = spark.createDataFrame([(0, "a")], "index long, input string")
+    log = spark.createDataFrame([(0, [], None), (5, ["l"], "bad")], "row_index long, module_logs array<string>, failure string")
+    outputs = spark.createDataFrame([(0, "A"), (7, "Z")], "index long, message string")
+    got = {r["index"]: (r["status"], r["output"] and r["output"]["message"]) for r in module.assemble(inputs, log, outputs).collect()}
+    assert got == {0: ("success", "A"), 5: ("failure", None), 7: ("success", "Z")}
+
+
 def test_sparse_index(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.IntegerType())])
     t = table.Table(spark, f"file://{tmp_path}/s", schema)
@@ -269,7 +330,7 @@ def test_capabilities(spark):
     assert made[0]["logs"] == ["counting"] and m.spec()["capabilities"][0]["name"] == "counter"
     assert capability.Transform({"prefix": "[test] ", "suffix": "!", "uppercase": True}).batch(["a"]) == ["[TEST] A!"]
     http = capability.Http({"urls": ["http://a/*"], "methods": ["get"]})
-    assert http.get("http://a/b")["status"] == "offline"
+    assert http.get("http://a/b")["status"] == "offline" and http.allowed("GET", "http://abc") and not http.allowed("GET", "http://b")
     for bad in (lambda: http.post("http://a/b", ""), lambda: http.get("http://c")):
         with pytest.raises(PermissionError):
             bad()
@@ -335,6 +396,116 @@ def test_sessions(spark):
     assert [r["output"] for r in session.calls(df.where("session_id = 1"), _pairs, diff=True).orderBy("turn").collect()] == ["0,0,Hello!", "1,1,How are you?", "2,2,more"]
 
 
+def test_session_tables(spark, tmp_path):
+    closed = tmp_path / "closed"
+    closed.mkdir()
+
+    def callback(i, row):
+        (closed / str(i)).write_text(row["status"])
+
+    kept = session.Sessions(spark, f"file://{tmp_path}/s", _greet, callbacks=[callback])
+    frame = lambda rows: spark.createDataFrame(rows, "session_id long, turn long, input string")
+    assert {(r["session_id"], r["turn"]): r["output"] for r in kept.run(frame(SAID[:1] + SAID[3:4] + SAID[5:6])).collect()} == {k: WANT[k] for k in ((1, 0), (2, 0), (3, 0))}
+    assert kept.get(1) == {"session_id": 1, "status": "active", "session": ["Hello!", "Hello! Turn 1"]} and kept.closed.length() == 0
+    again = session.Sessions(spark, f"file://{tmp_path}/s", _greet, callbacks=[callback])  # restored from its folder, it goes on
+    assert {(r["session_id"], r["turn"]): r["output"] for r in again.run(frame([x for x in SAID if x[1]])).collect()} == {k: v for k, v in WANT.items() if k[1]}
+    assert again.get(1)["session"] == ["Hello!", "Hello! Turn 1", "How are you?", "Goodbye! Turn 2"] and again.get(3)["status"] == "failed"
+    assert sorted((x.name, x.read_text()) for x in closed.iterdir()) == [("1", "succeeded"), ("2", "succeeded"), ("3", "failed")] and again.closed.length() == 3
+    with pytest.raises(table.NotFound):
+        again.get(77)
+    # rows from elsewhere are history, and are stored once
+    before = spark.createDataFrame([(8, 0, "Hello!", "Hello! Turn 1")], "session_id long, turn long, input string, output string")
+    for _ in range(2):
+        again.prepare(before)
+    assert again.call(8, "bye") == {"session_id": 8, "output": "Goodbye! Turn 2", "status": "succeeded"} and again.turns.scan().where("session_id = 8").count() == 2
+    with pytest.raises(Failed):
+        again.call(8, "more")
+    assert again.next_id() == 9
+
+
+def test_targets_share_the_index(spark, tmp_path):
+    second = Pipeline(spark, f"file://{tmp_path}/b", Module("shout", lambda message: {"loud": message.upper()}, out("message"), out("loud")))
+    first = Pipeline(spark, f"file://{tmp_path}/a", Module("errors", _error_handling, TEXT, out("message")), targets=[second])
+    first.run(spark.createDataFrame([("a",), ("error",), ("c",)], "input string").coalesce(1))
+    first.run(spark.createDataFrame([("d",)], "input string"))
+    assert second.record(0)["success"] == {"loud": "SUCCESS: A"} and second.record(2)["success"] == {"loud": "SUCCESS: C"} and second.record(3)["success"] == {"loud": "SUCCESS: D"}
+    with pytest.raises(table.NotFound):
+        second.record(1)
+
+
+def test_ingress(spark, tmp_path):
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    line = Pipeline(spark, f"file://{tmp_path}/p", Module("errors", _error_handling, TEXT, out("message")))
+    server = ingress.serve(line, session.Sessions(spark, f"file://{tmp_path}/s", _greet))
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    post = lambda path, text: json.loads(urlopen(Request(at + path, text.encode(), method="POST")).read())
+    assert post("/", '{"input": "a"}') == {"message": "Success: a"} and json.loads(urlopen(at + "/schema").read())["name"] == "errors"
+    assert post("/4", "Hello!")["output"] == "Hello! Turn 1"
+    for path, text, code in (("/", '{"input": "panic"}', 422), ("/x", "", 404)):
+        with pytest.raises(HTTPError) as e:
+            post(path, text)
+        assert e.value.code == code
+    server.shutdown()
+    server.server_close()
+
+
+def test_interconnect(spark):
+    known = Interconnect(Module("errors", _error_handling, TEXT, out("message"), "doc"))
+    known.register_session("greet", _greet)
+    known.register_session("pairs", _pairs, diff=True)
+    assert [(s["name"], s["kind"]) for s in known.specs()] == [("errors", "normal"), ("greet", "session"), ("pairs", "session_diff")] and known.spec("errors")["doc"] == "doc"
+    with pytest.raises(KeyError):
+        known.call("gone", spark.range(1))
+    assert {(r["session_id"], r["turn"]): r["output"] for r in known.call_session("greet", spark.createDataFrame(SAID, "session_id long, turn long, input string")).collect()} == WANT
+
+
+def test_remote_capability(spark):
+    class Client:
+        def call(self, method, *args):
+            return f"{method}{args}"
+
+    m = Module("remote", lambda input, caps: {"message": caps["far"].ask(input, 1)}, TEXT, out("message"), capabilities=(Capability("far", capability.Remote, {"connect": Client}),))
+    assert module.run(spark.createDataFrame([(0, "x")], "index long, input string"), m).first()["output"]["message"] == "ask('x', 1)"
+
+
+def test_records_are_made_once(spark, tmp_path):
+    def mark(input):
+        (tmp_path / f"{input}-{len(list(tmp_path.iterdir()))}").write_text("")
+        return {"message": input}
+
+    made = module.run_once(spark.createDataFrame([(0, "x")], "index long, input string"), Module("m", mark, TEXT, out("message")))
+    assert module.successes(made).count() == 1 and module.failures(made).count() == 0 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_timed_replay(spark):
+    rows, seen = spark.range(30).coalesce(1), []
+
+    def each(row):
+        seen.append(row["id"])
+        if row["id"] == 3:
+            raise ValueError("only counted")
+
+    r = replay.TimedReplay(rows, each, seconds=0.001, jitter=0.005, seed=1).start()
+    r.join(60)
+    assert seen == list(range(30)) and r.status() == {"active": False, "sent": 30, "failed": 1, "stopped": False, "error": None}
+    pauses = [r._pause() for _ in range(50)]
+    assert min(pauses) >= 0 and len(set(pauses)) > 10
+    slow = replay.TimedReplay(rows, seen.append, seconds=30).start()
+    slow.stop()
+    assert slow.status()["stopped"] and not slow.status()["active"] and slow.sent == 0
+
+
+def test_live_rows(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    q = replay.live(replay.replay(spark, f"{tmp_path}/in", spark.range(1).schema), "seen_rows")
+    q.processAllAvailable()
+    assert spark.table("seen_rows").count() == 5
+    q.stop()
+    assert not replay.progress(q)["active"]
+
+
 def test_session_stream(spark, tmp_path):
     for b, rows in enumerate((SAID[:1] + SAID[3:5], SAID[1:3] + SAID[5:])):
         spark.createDataFrame(rows, "session_id long, turn long, input string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b={b}")
