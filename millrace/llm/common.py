@@ -1,58 +1,24 @@
-"""Things that several corpus operators share: storage, batching, and vectorised word splitting."""
+"""Things that several corpus operators share: batching, bitmaps, and vectorised word splitting; storage is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import cut, fresh, new_folder, shared_dir
+
+__all__ = ["cut", "fresh", "new_folder", "shared_dir"]
+
 # The white space of the contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
 BATCH_ROWS = 500
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode; on a cluster an error."""
-    context = spark.sparkContext
-    place = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if context.applicationId not in _OWN:
-        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return _OWN[context.applicationId]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage ends there, and lost executors cost nothing."""
-    place = new_folder(df.sparkSession, "cut")
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def fresh(taken: list[str], name: str) -> str:
-    """``name``, or a variant of it that no column in ``taken`` has (case-insensitively)."""
-    used = {c.lower() for c in taken}
-    while name.lower() in used:
-        name = f"{name}_"
-    return name
-
-
 def row_mark(df: DataFrame) -> Column:
     """A hash of the whole row; maps have none."""
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))

@@ -49,7 +49,7 @@ def close_pair(rng, alphabet):
 
 
 def test_recall_of_bands():
-    """Pairs just above the threshold meet in a band, short and long lines alike. Measured: 0.998 of 2,000 pairs."""
+    """Pairs just above the threshold meet in a band, short and long lines alike. Measured: 0.9965 of 2,000 pairs."""
     rng = random.Random(3)
     pairs = [close_pair(rng, alphabet) for alphabet in ("abcdefghijklmnopqrstuvwxyz ", "的一是在不了有和人这中大为上个国我以要他") for _ in range(1000)]
     bands, sizes = lines.signatures([x.encode() for p in pairs for x in p])
