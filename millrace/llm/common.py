@@ -24,17 +24,32 @@ def row_mark(df: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))
 
 
-def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for each value of a long column modulo ``bits``, a power of two: bits / 8 bytes in all, whatever the number of rows."""
+def bitmap_rows(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """part, bits: a bit for each value of a long column modulo ``bits``, a power of two, in pieces of 4 KB; bits / 8 bytes in all, whatever the number of rows."""
     bit = F.pmod(F.col(column), F.lit(bits)) + 1
-    made = rows.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    return rows.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The same as one array of bytes."""
     out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in made:
+    for r in bitmap_rows(rows, column, bits).collect():
         data = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[(r["part"] - 1) * len(data) : r["part"] * len(data)] = data
     return out
 
 
+def with_bit(df: DataFrame, value: Column, bitmap: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """``df`` with one more column, whose name is returned: whether ``bitmap`` (as ``bitmap_rows`` makes it) has the value's bit. JVM-side; what is broadcast is bits / 8 bytes at most."""
+    part, piece, out = (fresh(df.columns, f"__{x}") for x in ("bit_part", "bit_piece", "bit"))
+    bit = F.pmod(value, F.lit(bits)) + 1
+    side = F.broadcast(bitmap.select(F.col("part").alias(part), F.col("bits").alias(piece)))
+    at = F.bitmap_bit_position(bit)
+    joined = df.join(side, F.bitmap_bucket_number(bit) == F.col(part), "left")
+    byte = F.conv(F.hex(F.substring(piece, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(out, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop(part, piece), out
+
+
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each of the unsigned 64-bit ``values`` has its bit set."""
     bit = values & np.uint64(len(bitmap) * 8 - 1)

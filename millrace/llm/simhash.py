@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh, lowered, row_batches, row_mark, text_values, whole_batches
+from millrace.llm.common import bitmap_rows, cut, fresh, lowered, row_batches, row_mark, text_values, whole_batches, with_bit
 from millrace.llm.components import components
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+BITMAP = 1 << 25
 # the blocks' bits; a projection leaves one of them out
 BLOCKS = [range(0, 21), range(21, 42), range(42, 64)]
 _LEFT_OUT = [np.uint64(sum(1 << b for b in block)) for block in BLOCKS]
@@ -212,8 +213,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share that id, the one with the least hashes of text and of the whole row stays; of equal rows, one."""
     m, r = (fresh(docs.columns, f"__{x}") for x in ("mark", "row"))
-    members = near_duplicates(docs, doc_id, text)
-    keepers = cut(members.where(F.struct("mark", "row") == F.col("keeper")).select(F.col("mark").alias(m), F.col("row").alias(r)).distinct())
-    marked = docs.withColumns({m: F.xxhash64(f"`{text}`"), r: row_mark(docs)})
+    members, own = cut(near_duplicates(docs, doc_id, text)), [F.col(f"`{c}`") for c in docs.columns]
+    keeps = F.struct("mark", "row") == F.col("keeper")
+    keepers = cut(members.where(keeps).select(F.col("mark").alias(m), F.col("row").alias(r)).distinct())
+    # rows that go, or that are repeated as a whole; all others stay, and their texts needn't be shuffled
+    repeated = members.groupBy("mark", "row").agg(F.count("*").alias("n")).where("n > 1")
+    doubtful = cut(bitmap_rows(members.where(~keeps).select("row").union(repeated.select("row")), "row", BITMAP))
+    marked, bit = with_bit(docs.withColumns({m: F.xxhash64(f"`{text}`"), r: row_mark(docs)}), F.col(r), doubtful, BITMAP)
     # equal rows lie together after the join, so this takes no further shuffle
-    return marked.join(keepers, [r, m], "left_semi").dropDuplicates([r, m]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = marked.where(F.col(bit)).join(keepers, [r, m], "left_semi").dropDuplicates([r, m])
+    return marked.where(~F.col(bit)).select(*own).unionAll(chosen.select(*own))

@@ -460,6 +460,18 @@ def test_simhash(spark, rows, docs):
     same([(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()], alone.values())
 
 
+def test_bitmaps(spark):
+    """A value's bit is set; in the JVM and in numpy alike, and others' are as the bitmap is full."""
+    df = spark.range(2000).select(F.xxhash64("id").alias("v"), "id")
+    made = common.bitmap_rows(df.where("id < 100"), "v", 1 << 16)
+    flagged, name = common.with_bit(df, F.col("v"), made, 1 << 16)
+    got = {r["id"]: r[name] for r in flagged.collect()}
+    assert all(got[k] for k in range(100)) and sum(got.values()) < 110 and flagged.columns == ["v", "id", name]
+    values = np.array([r["v"] for r in df.orderBy("id").collect()]).view(np.uint64)
+    assert common.in_bitmap(common.bitmap_of(df.where("id < 100"), "v", 1 << 16), values).tolist() == [got[k] for k in range(2000)]
+    assert not common.in_bitmap(common.bitmap_of(df.limit(0), "v", 1 << 16), values).any()
+
+
 def test_keep_one_of_equal_ids(spark):
     """Rows equal in id and text, but not elsewhere, and rows equal in all: one stays, the same one however they lie."""
     data = [(1, "a b c d", "en", s, 1) for s in "pqrst"] + [(2, "e f g h", "de", "x", 1)] * 5 + [(None, "i j k", "en", "n", 1), (None, "i j k", "en", "m", 1), (3, "A B C D", "en", "p", 1)]
