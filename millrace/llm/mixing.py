@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, fresh, n_space_words, row_mark
 
-SLICES = 4096
+SLICES = 1024
 MAX_COPIES = 3
 MANY_SOURCES = 20_000
 SEED = 20
