@@ -42,7 +42,7 @@ BLOCK = 1 << 16
 SEGMENT = 1 << 14
 FILE_IDS = 1 << 26
 END_ID = 2
-ENCODE_BYTES = 1 << 19
+ENCODE_BYTES = 1 << 17
 
 
 class Encoder:
