@@ -74,23 +74,30 @@ def run(df: DataFrame, m: Module, index: str = "index") -> DataFrame:
     schema = record_schema(m)
     arrow = to_arrow_schema(schema)
 
+    names, types = m.inputs.fieldNames(), {f.name: f.type for f in arrow}
+
+    def outputs(made: list, errors: list) -> pa.Array:
+        try:
+            return pa.array(made, types["output"])
+        except (pa.ArrowInvalid, pa.ArrowTypeError):  # one row's output doesn't fit: find it
+            for k, x in enumerate(made):
+                try:
+                    pa.array([x], types["output"])
+                except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
+                    made[k], errors[k] = None, f"output: {e}"
+            return pa.array(made, types["output"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = caller(m, {c.name: resource(c) for c in m.capabilities})
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                i, error = r.pop(index), r.pop("_error")
-                made, failure, logs = (None, error, []) if error else call(r)
-                out.append({"index": i, "input": r, "status": "failure" if failure else "success", "output": made, "error": failure, "logs": logs})
-            try:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-            except (pa.ArrowInvalid, pa.ArrowTypeError):  # one row's output doesn't fit: find it
-                for x in out:
-                    try:
-                        pa.RecordBatch.from_pylist([x], schema=arrow)
-                    except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
-                        x |= {"status": "failure", "output": None, "error": f"output: {e}"}
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            columns = [b.column(n).cast(f.type) for n, f in zip(names, types["input"], strict=True)]
+            values = zip(*(c.to_pylist() for c in columns), strict=True) if columns else ((),) * b.num_rows
+            done = [(None, bad, []) if bad else call(dict(zip(names, v, strict=True))) for v, bad in zip(values, b.column("_error").to_pylist(), strict=True)]
+            made, errors, logs = ([x[k] for x in done] for k in range(3))
+            out = outputs(made, errors)
+            inputs = pa.StructArray.from_arrays(columns, fields=list(types["input"])) if columns else pa.array([{}] * b.num_rows, types["input"])
+            status = pa.array(["failure" if e else "success" for e in errors], types["status"])
+            yield pa.RecordBatch.from_arrays([b.column(index).cast(types["index"]), inputs, status, out, pa.array(errors, types["error"]), pa.array(logs, types["logs"])], schema=arrow)
 
     return ready.mapInArrow(rows, schema)
 
