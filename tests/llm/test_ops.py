@@ -576,7 +576,8 @@ def test_warc(spark):
     rng = random.Random(9)
     html = ["x" * 99, "y" * 100, "é" * 60, None, "", "long " * 60_000, "WARC/1.0\r\n\r\n" * 20]
     data = [(k, f"http://a/{k} b", rng.choice(html)) for k in range(60)] + [(None, None, "y" * 100), (None, None, "only " * 40), (3, "u", "y" * 100)]
-    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3).withColumn("size", F.lit(1))
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    df = clashing(df)
     least = {}
     for k, _, h in data:
         if k is not None:
@@ -682,7 +683,7 @@ def test_rules_are_native(spark, sf):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-@pytest.mark.parametrize("f", [lambda d, s: mixing.mix(d), lambda d, s: mixing.mixed(d), lambda d, s: decontam.contamination(d, s.createDataFrame([], "item_id long, text string")), lambda d, s: tokens.read_digests(tokens.write_tokens(d, queries.vocabulary())), lambda d, s: lines.decisions(d), lambda d, s: substrings.removals(d), lambda d, s: simhash.near_duplicates(d), lambda d, s: simhash.keep_one(d), lambda d, s: rules.judge(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: classifier.classify(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: warc.read_pages(warc.write_pages(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")))), lambda d, s: chat.digests(chat.formatted(chat.canonical(s.createDataFrame([], "conv_id long, turn long, role string, text string"))))])
+@pytest.mark.parametrize("f", [lambda d, s: mixing.mix(d), lambda d, s: mixing.mixed(d), lambda d, s: decontam.contamination(d, s.createDataFrame([], "item_id long, text string")), lambda d, s: tokens.read_digests(tokens.write_tokens(d, queries.vocabulary())), lambda d, s: lines.decisions(d), lambda d, s: lines.deduplicated(d), lambda d, s: substrings.removals(d), lambda d, s: substrings.deduplicated(d), lambda d, s: simhash.near_duplicates(d), lambda d, s: simhash.keep_one(d), lambda d, s: rules.judge(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: classifier.classify(d, s.createDataFrame([], "doc_id long, quality int")), lambda d, s: warc.read_pages(warc.write_pages(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html")))), lambda d, s: chat.digests(chat.formatted(chat.canonical(s.createDataFrame([], "conv_id long, turn long, role string, text string"))))])
 def test_empty_tables(spark, empty, f):
     assert f(empty, spark).collect() == []
 
