@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from millrace import types as kinds
 from millrace.functions import scalar, vector
 from millrace.operators import module as modules
-from millrace.operators import repair
+from millrace.operators import infer, repair
 from millrace.operators.module import Failed, Module
 from millrace.operators.interconnect import Interconnect
 from millrace.plans import sqlview, table
+from millrace.plans.pipeline import Pipeline
+from millrace.sources import files
 from millrace.storage import new_folder
-from millrace.streaming import session
+from millrace.streaming import replay, session
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -436,7 +438,85 @@ def put_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", "n_name", F.col("more").cast("long").alias("more"), repair.is_null(out, "g.x").alias("gone"), repair.is_null(out, "g.y").alias("never"))
 
 
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table exported as CSV and JSON lines in chunks, and as Parquet, and read again."""
+    n, folder, out = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")), new_folder(spark, "export"), None
+    for kind in ("csv", "jsonl", "parquet"):
+        files.export(n, f"{folder}/all.{kind}", kind, 10)
+        back = files.read_any(spark, f"{folder}/all.{kind}").select(F.lit(kind).alias("kind"), F.col("k").cast("long").alias("k"), "name")
+        out = back if out is None else out.union(back)
+    return out
+
+
+def ipc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as an Arrow file, read as a table and as JSON with its schema."""
+    data = files.to_ipc(read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("name")))
+    shown = files.ipc_to_json(data)
+    rows = [(r["k"], r["name"], ",".join(f["name"] for f in shown["schema"]), files.content_hash(b"abc")) for r in shown["rows"]]
+    return spark.createDataFrame(rows, "k long, name string, schema string, hash string")
+
+
+def ipc_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrow files of a folder, written from the executors and read there."""
+    folder = new_folder(spark, "ipc")
+    files.write_ipc_folder(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(3), folder)
+    return files.read_ipc(spark, folder)
+
+
+def json_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = files.read_row(spark, '{"a": 7, "b": {"c": "x"}, "l": [1, 2]}'), files.read_row(spark, '[["a", 8], ["b", {"c": "y"}], ["l", [3]]]')
+    return a.union(b).select(F.col("a").cast("long").alias("a"), F.col("b.c").alias("c"), F.size("l").cast("long").alias("n"))
+
+
+def bulk_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole file through a pipeline and its tables."""
+    texts = T.StructType([T.StructField("text", T.StringType())])
+    line = Pipeline(spark, new_folder(spark, "pipeline"), Module("prefix", lambda text: {"output": "Prefixed: " + text}, texts, T.StructType([T.StructField("output", T.StringType())])))
+    line.bulk(f"{sf_dir}/benchmark.parquet")
+    return line.data("SELECT output FROM data")
+
+
+def chained_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline whose successes another one stores under the same index."""
+    folder = new_folder(spark, "pipeline")
+    second = Pipeline(spark, f"{folder}/b", CALLER)
+    first = Pipeline(spark, f"{folder}/a", HELLO, targets=[second])
+    first.run(read(spark, sf_dir, "nation").select(F.col("n_name").alias("input")), ["input"])
+    return second.data("SELECT _output_meta.index AS index, message FROM data")
+
+
+def replay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events replayed from their file as a stream, each batch a commit of a table."""
+    schema, folder = read(spark, sf_dir, "events").schema, new_folder(spark, "replay")
+    t = table.Table(spark, f"{folder}/t", T.StructType([f for f in schema if f.name in ("event_id", "event_type")]))
+    replay.drain(replay.replay(spark, f"{sf_dir}/events.parque*", schema), lambda b, _: t.append(b.select("event_id", "event_type"), ["event_id"]), f"{folder}/c").awaitTermination()
+    return t.scan().groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+def watermark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.windowed(read(spark, sf_dir, "events")).select("start", "event_type", "n")
+
+
+def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole segments of 64 rows are dropped, so that the newest 100 stay."""
+    return replay.keep_logs(read(spark, sf_dir, "events").select(F.col("event_id").alias("row_index")), 100, 64)
+
+
+def newest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest semantic version of each name; a pre-release comes before its release."""
+    n = F.col("n_nationkey")
+    versions = read(spark, sf_dir, "nation").select(F.concat(F.lit("m"), n % 3).alias("name"), F.concat(F.lit("1."), n, F.when(n % 2 == 0, "").otherwise(".0-rc1")).alias("version"))
+    return table.latest_version(versions.withColumn("version", F.concat("version", F.when(F.contains("version", F.lit("-")), "").otherwise(".0"))), "name", "version")
+
+
+def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The common type of JSON texts, found on the executors."""
+    kind = infer.infer_json(read(spark, sf_dir, "events"), "props")
+    return spark.createDataFrame([(n, repr(k)) for n, k, _ in kind.args[0]], "field string, kind string")
+
+
 QUERIES = [
+    file_round_trip, ipc_round_trip, ipc_folder, json_row, bulk_file, chained_pipelines, replay_drain, watermark_windows, log_retention, newest_version, inferred_types,
     success_split, failure_split, run_tally, log_scan, pipeline_view_join, metadata_join, record_assembly, bulk_prefix, compose_playbooks, page_slice, point_lookup, tier_union, row_index_assign, repair_int, repair_bool,
     repair_list, project_columns, coerce_union, deep_get, time_parse, scalar_functions, crc32c, cosine, vector_topk, vector_search_all, text_embedding, session_fold, session_pairs, session_status, session_explode,
     session_split, session_unpaired, session_diff, turn_number, session_goes_on, session_next_id, session_newest, repair_float, repair_text, repair_timestamp, repair_group, repair_map, coerce_bool, data_view, data_statements,
@@ -482,6 +562,17 @@ ORACLE: dict[str, str] = {
     "cosine": "SELECT vec_id, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 0), 5) AS c FROM embeddings",
     "vector_topk": "SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 10",
     "vector_search_all": "SELECT query_id, item_id, round(s, 5) AS score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5",
+    "file_round_trip": "SELECT unnest(['csv', 'jsonl', 'parquet']) AS kind, n_nationkey::BIGINT AS k, n_name AS name FROM nation",
+    "ipc_round_trip": "SELECT r_regionkey::BIGINT AS k, r_name AS name, 'k,name' AS schema, sha256('abc') AS hash FROM region",
+    "ipc_folder": "SELECT o_orderkey, o_totalprice FROM orders",
+    "json_row": "SELECT * FROM (VALUES (7::BIGINT, 'x', 2::BIGINT), (8, 'y', 1)) t(a, c, n)",
+    "bulk_file": "SELECT 'Prefixed: ' || text AS output FROM benchmark",
+    "chained_pipelines": "SELECT row_number() OVER (ORDER BY n_name) - 1 AS index, 'Caller received: Hello: ' || n_name AS message FROM nation",
+    "replay_drain": "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type",
+    "watermark_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "log_retention": "SELECT event_id AS row_index FROM events WHERE event_id // 64 >= ((SELECT max(event_id) FROM events) + 1 - 100) // 64",
+    "newest_version": "SELECT 'm' || (n_nationkey % 3) AS name, '1.' || max(n_nationkey) || CASE WHEN max(n_nationkey) % 2 = 0 THEN '.0' ELSE '.0-rc1' END AS version FROM nation GROUP BY n_nationkey % 3",
+    "inferred_types": "SELECT 'k' AS field, 'I64' AS kind",
     "session_fold": _FOLD + "SELECT session_id, 2 * count(*) AS n, md5(string_agg(i || '|' || o, '|' ORDER BY k)) AS h FROM f GROUP BY session_id",
     "session_pairs": _FOLD + "SELECT session_id, md5(string_agg(i, '|' ORDER BY k)) AS inputs, md5(string_agg(o, '|' ORDER BY k)) AS outputs FROM f GROUP BY session_id",
     "session_split": _FOLD + "SELECT session_id, 2 * count(*) - 2 AS prior, arg_max(i, k) AS input, arg_max(o, k) AS success FROM f GROUP BY session_id",

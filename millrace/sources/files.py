@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import socket
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -177,6 +179,40 @@ def write_ipc(df: DataFrame, path: str) -> None:
     Path(path).write_bytes(to_ipc(df))
 
 
+def write_ipc_folder(df: DataFrame, folder: str) -> None:
+    """Arrow files below a new folder of any file system, one for each task, written by the executors."""
+    from pyarrow import fs
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = to_arrow_schema(df.schema)
+
+    def where():
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder)) if re.match(r"[a-z][a-z0-9+.-]*:", folder) else (fs.LocalFileSystem(), folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = where()
+        out, writer, n, name = None, None, 0, f"{place}/part-{uuid.uuid4().hex}.arrow"
+        for b in batches:
+            if writer is None:
+                system.create_dir(place, recursive=True)
+                out = system.open_output_stream(name)
+                writer = pa.ipc.new_file(out, kind)
+            writer.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, kind, strict=True)], schema=kind))
+            n += b.num_rows
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name], "n": [n]})
+
+    written = {r["name"].rpartition("/")[2] for r in df.mapInArrow(write, "name string, n long").collect()}  # a row for each file
+    system, place = where()
+    if not written:
+        return
+    for f in system.get_file_info(fs.FileSelector(place)):  # what a failed attempt has left
+        if f.base_name not in written:
+            system.delete_file(f.path)
+
+
 def ipc_to_json(data: bytes) -> dict:
     """{schema: [{name, type, nullable}], rows: [...]} of an Arrow file."""
     table = pa.ipc.open_file(pa.BufferReader(data)).read_all()
