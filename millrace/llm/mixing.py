@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, fresh, n_space_words, row_mark
 
 SLICES = 1024
+RUN = 128
 MAX_COPIES = 3
 MANY_SOURCES = 20_000
 SEED = 20
@@ -64,9 +65,17 @@ def plan(keyed: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     goal = cut(targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), cycle))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = goal.select(F.col("source").alias("s"), "rest")
-    ends = slices.withColumn("before", before).join(g, F.col("source").eqNullSafe(F.col("s"))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+
+    def up_to(by: str) -> Column:
+        return F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # the slice in which the budget ends, first among runs of RUN slices, then in the run: no window holds all slices of a source
+    run, ends_here = F.floor(F.col("slice") / RUN).alias("run"), (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))
+    runs = slices.groupBy("source", run).agg(F.sum("words").alias("words")).withColumn("before", up_to("run"))
+    runs = runs.join(g, F.col("source").eqNullSafe(F.col("s"))).where(ends_here).select("s", F.col("run").alias("in_run"), F.col("before").alias("run_before"), "rest")
+    there = slices.withColumn("run", run).join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("in_run")))
+    ends = there.withColumn("before", F.col("run_before") + up_to("slice")).where(ends_here)
     ends = cut(ends.select("s", F.col("slice").alias("edge"), "before", "rest"))
     inside = keyed.where("size > 0").join(ends, F.col("source").eqNullSafe(F.col("s")) & (_slice(F.col("key")) == F.col("edge")))
     inside = inside.groupBy("source", "key", "mark", "size", "before", "rest").agg(F.count("*").alias("ties"))
