@@ -155,8 +155,10 @@ class Table:
         return {int(s.getPath().getName().rpartition(".")[2]) for s in self._fs.listStatus(self._p("_readers"))}
 
     def file_ranges(self) -> DataFrame:
-        """file, low, high, n: the indexes that each file holds; from statistics that the scan prunes to one column."""
+        """file, low, high, n: the indexes that each committed file holds; the scan reads no other column."""
         m = self._manifest()
+        if not m["commits"]:
+            return self.spark.createDataFrame([], "file string, low long, high long, n long")
         i = F.col(f"{self.prefix}.index")
         return self._parts(m).groupBy(F.input_file_name().alias("file")).agg(F.min(i).alias("low"), F.max(i).alias("high"), F.count("*").alias("n"))
 
