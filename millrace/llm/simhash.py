@@ -38,6 +38,7 @@ BITMAP = 1 << 25
 BLOCKS = [range(0, 21), range(21, 42), range(42, 64)]
 _LEFT_OUT = [np.uint64(sum(1 << b for b in block)) for block in BLOCKS]
 _STEP = 1 << 16
+_TOGETHER = 1 << 19
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -58,9 +59,97 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
 
 
+# The primes of XXH64.
+_P = [np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def xxh64_many(raw: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each piece raw[start:end], those of equal length side by side."""
+    p1, p2, p3, p4, p5 = _P
+    padded = raw + bytes(8)
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    fours = np.ndarray((len(raw) + 1,), "<u4", padded, strides=(1,))
+    ones, sizes = np.frombuffer(padded, np.uint8), ends - starts
+    out, order = np.empty(len(starts), np.uint64), np.argsort(sizes, kind="stable")
+    edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        where, size, at = order[a:b], int(sizes[order[a]]), 0
+        base = starts[where]
+        if size >= 32:
+            lanes = [np.full(b - a, (seed + x) % (1 << 64), np.uint64) for x in (int(p1) + int(p2), int(p2), 0, -int(p1))]
+            while at + 32 <= size:
+                lanes = [_turn(v + eights[base + at + 8 * k] * p2, 31) * p1 for k, v in enumerate(lanes)]
+                at += 32
+            h = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for v in lanes:
+                h = (h ^ _turn(v * p2, 31) * p1) * p1 + p4
+        else:
+            h = np.full(b - a, (seed + int(p5)) % (1 << 64), np.uint64)
+        h = h + np.uint64(size)
+        while at + 8 <= size:
+            h = _turn(h ^ _turn(eights[base + at] * p2, 31) * p1, 27) * p1 + p4
+            at += 8
+        if at + 4 <= size:
+            h = _turn(h ^ fours[base + at].astype(np.uint64) * p1, 23) * p2 + p3
+            at += 4
+        while at < size:
+            h = _turn(h ^ ones[base + at].astype(np.uint64) * p5, 11) * p1
+            at += 1
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        out[where] = h ^ h >> np.uint64(32)
+    return out
+
+
+def majority(hashes: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each run of hashes. Eight bits at a time are counted in the bytes of 64-bit sums, over 255 hashes at most."""
+    place = np.arange(len(hashes)) - np.repeat(first, many)
+    blocks = np.flatnonzero(place % 255 == 0)
+    sums = np.stack([np.add.reduceat(hashes >> np.uint64(k) & np.uint64(0x0101010101010101), blocks) for k in range(8)], axis=1)
+    counts = sums.astype("<u8").view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+    counts = np.add.reduceat(counts, np.flatnonzero(place[blocks] == 0), axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > many[:, None], axis=1, bitorder="little").reshape(-1).view("<u8").astype(np.uint64)
+
+
+def fingerprints_of(texts: list[bytes], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """``fingerprint`` of each text: short ones together, long ones each by itself."""
+    out, at = np.zeros(len(texts), np.uint64), 0
+    while at < len(texts):
+        stop, size = at + 1, len(texts[at])
+        while stop < len(texts) and size + len(texts[stop]) <= _TOGETHER:
+            size += len(texts[stop])
+            stop += 1
+        if size > _TOGETHER:
+            out[at] = fingerprint(texts[at], width, seed)
+            at = stop
+            continue
+        joined = [b" ".join(lowered(t).split()) for t in texts[at:stop]]
+        some = [k for k, t in enumerate(joined) if t.count(b" ") >= width]
+        for k, t in enumerate(joined):
+            if t and t.count(b" ") < width:  # one shingle
+                out[at + k] = xxhash.xxh64_intdigest(t, seed)
+        if some:
+            raw = b"\n".join([joined[k] for k in some])
+            chars = np.frombuffer(raw, np.uint8)
+            gaps = np.flatnonzero((chars == 32) | (chars == 10))
+            starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(raw))
+            text = np.concatenate(([0], np.cumsum(chars[gaps] == 10)))
+            whole = np.flatnonzero(text[: len(text) - width + 1] == text[width - 1 :])
+            hashes, of = xxh64_many(raw, starts[whole], ends[whole + width - 1], seed), text[whole]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            many = np.diff(np.append(first, len(of)))
+            out[at + np.array(some)] = majority(hashes, first, many)
+        at = stop
+    return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in row_batches(batches):
-        prints = np.array([fingerprint(t) for t in text_values(batch.column(0))], np.uint64).view(np.int64)
+        prints = fingerprints_of(text_values(batch.column(0))).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(prints)], names=["doc_id", "mark", "row", "fp"])
 
 

@@ -479,6 +479,22 @@ def test_keep_one_of_equal_ids(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == 3
 
 
+def test_fingerprints_side_by_side(monkeypatch):
+    """Hashes of pieces of all lengths, and fingerprints of short and long texts, are those made one by one."""
+    rng = random.Random(7)
+    raw = bytes(rng.randrange(256) for _ in range(3000))
+    starts = np.array([rng.randrange(2800) for _ in range(800)] + [3000, 2999])
+    ends = np.minimum(starts + np.array([rng.randrange(140) for _ in range(800)] + [0, 1]), 3000)
+    assert simhash.xxh64_many(raw, starts, ends).tolist() == [xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts, ends)]
+    texts = ["", " \n", "One", "one two", "a b c", "a b c d"] + [" ".join(rng.choice(["ab", "Ä中", "x" * 40, "y", "ZZ"]) + rng.choice(["", "\t", "\n "]) for _ in range(rng.choice([3, 4, 200, 257, 258, 600, 3000]))) for _ in range(60)]
+    raws = [t.encode() for t in texts]
+    want = [simhash.fingerprint(t) for t in raws]
+    assert want[:12] == [brute_fingerprint(t) for t in texts[:12]]
+    for together in (1 << 19, 700, 1):
+        monkeypatch.setattr(simhash, "_TOGETHER", together)
+        assert simhash.fingerprints_of(raws).tolist() == want
+
+
 def test_ball_links_are_whole():
     """All links within a radius, from dense and sparse sets, through both ways of a bucket."""
     rng = random.Random(4)
