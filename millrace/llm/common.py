@@ -90,9 +90,16 @@ _LOWER[0x41:0x5B] += 32
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(1024, _MULT, np.uint64), dtype=np.uint64)
 _VALUES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64), dtype=np.uint64)))
+
+
+_FORWARD, _BACK = _powers(int(_MULT), 2 * _CHUNK), _powers(pow(int(_MULT), -1, 1 << 64), 2 * _CHUNK)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -105,16 +112,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _table_of(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """A word's hash is the sum of its bytes' values times powers of their places in it: a difference of sums up to its end and
+    its start, times the inverse of the power that the start has."""
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate(([0], edge))
+    if len(inside) and inside[-1]:
+        edge = np.append(edge, len(inside))
+    starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    lengths = ends - starts
-    kept = raw[inside]
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(len(kept)) - np.repeat(first, lengths)
-    hashes = np.add.reduceat(_VALUES[kept] * _POWERS[place & 1023], first)
-    return starts, ends, mix64(hashes + lengths.astype(np.uint64))
+    n = len(raw)
+    forward, back = (_FORWARD, _BACK) if n < len(_FORWARD) else (_powers(int(_MULT), n + 1), _powers(int(_BACK[1]), n + 1))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * forward[:n], out=sums[1:])
+    return starts, ends, mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_table(text: bytes, letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
