@@ -11,8 +11,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.plans.sqlview import with_tables
+from millrace.plans.table import with_index
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -115,8 +117,15 @@ def runner(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def order_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both row numbers of the SQL text by range shuffles; a window without partitions would put all rows into one task."""
+    rows = with_tables(spark, {"events": spark.read.parquet(f"{sf_dir}/events.parquet")}, "SELECT event_id AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS v FROM events")
+    up = with_index(rows, [F.col("v").asc_nulls_last(), "k"], 1, "a")
+    return with_index(up, [F.col("v").desc_nulls_first(), "k"], 1, "d").select("k", "a", "d")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: runner(k, v[1]) for k, v in CATALOGUE.items()}
+    return {k: runner(k, v[1]) for k, v in CATALOGUE.items()} | {f.__name__: f for f in (order_nulls,)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,14 +37,14 @@ def meta(prefix: str) -> str:
 
 def with_index(df: DataFrame, order: list[Column | str], start: int = 0, column: str = "index") -> DataFrame:
     """Dense indexes from ``start`` in the given order, without a one-task window over rows: range partitions are written with
-    each row's place in them, and a table of their offsets, one row for each, is joined."""
+    each row's place in them, and a table of their offsets, one row for each, is broadcast to them."""
     part, at, base = (fresh(df.columns, f"__{x}") for x in ("part", "at", "base"))
     row = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = cut(ranged.withColumns({part: F.shiftright(row, 33).cast("int"), at: row.bitwiseAND(F.lit((1 << 33) - 1))}))
     before = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy(part).count().select(part, (F.coalesce(before, F.lit(0)) + start).alias(base))
-    return ranged.join(offsets, part).withColumn(column, F.col(base) + F.col(at)).drop(part, at, base)
+    return ranged.join(F.broadcast(offsets), part).withColumn(column, F.col(base) + F.col(at)).drop(part, at, base)
 
 
 class Table:

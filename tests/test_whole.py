@@ -1,6 +1,7 @@
 """Queries take every row of their tables: counted against the tables, and against the oracle on small ones."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from millrace.plans import catalogue
 
@@ -28,6 +29,19 @@ def test_order_nulls(spark, tmp_path):
     assert got == sorted([(4001, 1, 6), (199, 2, 5), (3, 3, 4), (5, 4, 1), (200, 5, 2), (205, 6, 3)], key=str)
 
 
+def test_order_nulls_is_not_one_task(spark, tmp_path):
+    """Rows are ranked in ranges: no task has them all, whichever way they are ordered."""
+    events = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 40).alias("user_id"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        both(spark, tmp_path, "order_nulls", events=events)
+        sizes = [r["count"] for r in QUERIES["order_nulls"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000, sizes
+
+
 def test_unnest(spark, tmp_path):
     data = [(0, [0.5, 1.5, 2.5, 3.5, 4.5]), (50, [6.5]), (51, []), (52, None), (1000, [float(k) for k in range(64)])]
     got = both(spark, tmp_path, "unnest", embeddings=spark.createDataFrame(data, "vec_id long, embedding array<float>"))
