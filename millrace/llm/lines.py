@@ -102,7 +102,7 @@ def _line_sets(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
         while stop < len(lines) and total + len(lines[stop]) < _CHUNK and stop - at < 1 << 64 - _HASH_BITS:
             total += len(lines[stop]) + 1
             stop += 1
-        if total >= _CHUNK:
+        if len(lines[at]) >= _CHUNK:
             yield at, stop, _long_set(lines[at])
         else:
             points = _code_points(lines[at:stop])

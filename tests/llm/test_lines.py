@@ -137,3 +137,14 @@ def test_clashing_columns_and_long_text(spark):
     assert out.columns == df.columns
     assert {(r["doc_id"], r["text"], r["__d"], r["__removed"]) for r in out.collect()} == {(1, f"x\n{long}", 7, "r"), (2, "y", 8, "r"), (3, None, 9, "r")}
     assert out.count() == 4
+
+
+def test_run_of_lines_that_just_fills_a_chunk(monkeypatch):
+    """Lines whose lengths add up to a chunk's have their own sets and minima, each of them."""
+    rng = random.Random(5)
+    many = ["".join(rng.choice("abcdefgh ") for _ in range(k)).encode() for k in (30, 40, 28, 35, 50)]
+    sets, (least, sizes) = lines.shingle_sets(many), lines.minima(many)
+    monkeypatch.setattr(lines, "_CHUNK", 100)  # 30 + 40 + 1 + 28 + 1
+    assert all(np.array_equal(a, b) for a, b in zip(lines.shingle_sets(many), sets, strict=True))
+    again, more = lines.minima(many)
+    assert np.array_equal(again, least) and np.array_equal(sizes, more) and sizes.all()
