@@ -48,12 +48,21 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 # shingle hashes that are sorted together with line numbers are cut to these bits
 _HASH_BITS = 52
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
+# 48 bits of a band's hash are shuffled; lines that meet by chance are told apart by the exact comparison
+_BAND = ~np.uint64(0xFFFF)
+
+
+# what makes white space inside a line differ from single spaces
+_UNEVEN = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """The normalised lines of a text; blank ones are empty."""
     low = text.lower() if text.isascii() else text.decode().lower().encode()
-    return [b" ".join(x.split()) for x in low.split(b"\n")]
+    found = low.split(b"\n")
+    if any(x in low for x in _UNEVEN):
+        return [b" ".join(x.split()) for x in found]
+    return [x.strip() for x in found]
 
 
 def digests(lines: list[bytes]) -> np.ndarray:
@@ -167,14 +176,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, id) of each line; lines that the task has seen lately are left out."""
     seen: set[bytes] = set()
     for batch in row_batches(batches):
-        new = [x for x in dict.fromkeys(x for t in text_values(batch.column(0)) for x in lines_of(t)) if x and xxhash.xxh3_128_digest(x) not in seen]
+        named = {x: xxhash.xxh3_128_digest(x) for x in dict.fromkeys(x for t in text_values(batch.column(0)) for x in lines_of(t)) if x}
+        new = [x for x, name in named.items() if name not in seen]
         if not new:
             continue
         names = digests(new)
         if len(seen) > SEEN:
             seen.clear()
-        seen.update(map(xxhash.xxh3_128_digest, new))
+        seen.update(named.values())
         bands, sizes = signatures(new)
+        bands &= _BAND
         yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(np.repeat(ids_of(names, sizes), BANDS))], names=["band", "id"])
 
 
