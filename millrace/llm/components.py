@@ -26,8 +26,8 @@ def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    moved = down.join(least, F.col("a") == F.col("u"))
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    # the link to the least neighbour stays, the others are moved
+    return down.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

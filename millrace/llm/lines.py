@@ -2,8 +2,9 @@
 
 Lines are normalised (white space runs to one space, trimmed, lower case); a line is named by a 128-bit digest. Its set of
 SHINGLE-character shingles gets one-permutation MinHash minima in BANDS x ROWS bins, once; two lines with Jaccard similarity
-0.8 share a band with probability 0.97, at 0.85 with 0.999 (a test measures it, with few distinct shingles too). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, so that a
-bucket's members stream by in order of size; where sizes differ by more than the similarity allows, it is split. Texts of
+0.8 share a band with probability 0.97, at 0.85 with 0.999 (a test measures it, with few distinct shingles too). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, packed to 12 bytes and gathered by
+range of the band's hash; a task sorts some ranges at a time, and a bucket's members stream by in order of size; where sizes differ by
+more than the similarity allows, it is split. Texts of
 lines in buckets with two or more members are then fetched in one more pass over the documents, which a bitmap of candidate
 ids (BITMAP bits, whatever the input) keeps from shuffling most others; exact Jaccard is computed on them, skipping pairs that
 already are connected. Links are joined up by distributed components, and of each component just the first line by (doc_id,
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bitmap_of, cut, fresh, in_bitmap, mix64, row_batches, text_values, whole_batches
+from millrace.llm.common import bitmap_of, bitmap_rows, cut, fresh, in_bitmap, mix64, row_batches, text_values, whole_batches, with_bit
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -48,8 +49,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 # shingle hashes that are sorted together with line numbers are cut to these bits
 _HASH_BITS = 52
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
-# 48 bits of a band's hash are shuffled; lines that meet by chance are told apart by the exact comparison
-_BAND = ~np.uint64(0xFFFF)
+# of a band's hash the first bits name a range and 32 more go with the id; lines that meet by chance are told apart by the exact comparison
+_RANGE_BITS = 14
+_ROW = np.dtype([("band", "<u4"), ("id", "<i8")])
+# rows that a task packs at once, and rows that a task sorts at once, or those of one range
+PACKED, SORTED = 1 << 20, 1 << 18
 
 
 # what makes white space inside a line differ from single spaces
@@ -172,9 +176,25 @@ def ids_of(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ((codes << np.uint64(_KEY_BITS)) | key_of(names)).view(np.int64)
 
 
+def _packed(bands: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(range, rows): bands and ids, those of a range as one value."""
+    for k in range(0, len(bands), 4 * PACKED):
+        part = bands[k : k + 4 * PACKED]
+        order = np.argsort((part >> np.uint64(64 - _RANGE_BITS)).astype(np.uint16), kind="stable")
+        part, rows = part[order], np.empty(len(part), _ROW)
+        rows["band"] = (part >> np.uint64(32 - _RANGE_BITS)).astype(np.uint32)
+        rows["id"] = ids[k : k + 4 * PACKED][order]
+        of = (part >> np.uint64(64 - _RANGE_BITS)).astype(np.int32)
+        starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
+        offsets = (np.append(starts, len(of)) * _ROW.itemsize).astype(np.int32)
+        values = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(of[starts]), values], names=["range", "rows"])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, id) of each line; lines that the task has seen lately are left out."""
+    """(range, rows) of the bands of each line; lines that the task has seen lately are left out."""
     seen: set[bytes] = set()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in row_batches(batches):
         named = {x: xxhash.xxh3_128_digest(x) for x in dict.fromkeys(x for t in text_values(batch.column(0)) for x in lines_of(t)) if x}
         new = [x for x, name in named.items() if name not in seen]
@@ -185,8 +205,40 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         seen.update(named.values())
         bands, sizes = signatures(new)
-        bands &= _BAND
-        yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64)), pa.array(np.repeat(ids_of(names, sizes), BANDS))], names=["band", "id"])
+        held.append((bands.reshape(-1), np.repeat(ids_of(names, sizes), BANDS)))
+        if sum(len(x) for x, _ in held) >= PACKED:
+            yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+    if held:
+        yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows sorted by range: (band, id) of lines that aren't alone in a band, sorted."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([x for _, x in held])
+        bands = np.repeat(np.array([r for r, _ in held], np.int64) << 32, [len(x) for _, x in held]) | rows["band"].astype(np.int64)
+        order = np.argsort(bands)
+        same = np.diff(bands[order]) == 0
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        bands, ids = bands[order], rows["id"][order]
+        order = np.lexsort((ids, bands))
+        for k in range(0, len(order), 10_000):
+            some = order[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(bands[some]), pa.array(ids[some])], names=["band", "id"])
+
+    n = 0
+    for batch in whole_batches(batches):
+        for of, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if n >= SORTED and of != held[-1][0]:
+                yield from settled()
+                held, n = [], 0
+            held.append((of, np.frombuffer(packed, _ROW)))
+            n += len(held[-1][1])
+    if held:
+        yield from settled()
 
 
 _GROUPS = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("segment", pa.int64())])
@@ -330,13 +382,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _line_rows(bitmap: np.ndarray):
-    """doc_id, mark, line_no, name and key of each line that isn't blank, and its text if its key is in the bitmap and the task hasn't passed it on lately."""
+    """doc_id, mark, line_no, name and key of each line that isn't blank, and its text if its key is in the bitmap and the task hasn't passed it on lately.
+    For each document also a row of its own, with line_no -1 and its number of lines as key."""
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32()), ("name", pa.binary()), ("key", pa.int64()), ("norm", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in row_batches(batches):
-            found = [[(i, x) for i, x in enumerate(lines_of(t)) if x] for t in text_values(batch.column(2))]
+            every = [lines_of(t) for t in text_values(batch.column(2))]
+            n, counts = len(every), np.array([len(row) for row in every], np.int64)
+            own = [pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.array(counts), pa.nulls(n, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], schema=schema)
+            found = [[(i, x) for i, x in enumerate(row) if x] for row in every]
             lines = [x for row in found for _, x in row]
             if not lines:
                 continue
@@ -361,6 +418,11 @@ def _key() -> Column:
     return F.col("id").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """key, name and norm of the rows with a text, each line once; dealt by key, as the join with groups needs them."""
+    return rows.where(F.col("norm").isNotNull()).select("key", "name", "norm").repartition("key").dropDuplicates(["key", "name"])
+
+
 def _verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """``groups``: group, key; ``texts``: key, name, norm. Links between names, exact."""
     rows = groups.join(texts, "key").select("group", "name", "norm")
@@ -398,28 +460,30 @@ def _across(large: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame |
     return pairs.join(rest, ["cluster", "chunk"]).select("group", "key").union(pairs.join(blocks, ["cluster", "block"]).select("group", "key")).distinct()
 
 
-def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs``: doc_id, mark, text. The lines that aren't blank (doc_id, mark, line_no, name), and for those that are linked to another: node (the name), root."""
-    bands = docs.select("text").mapInArrow(_bands, "band long, id long").repartition("band").sortWithinPartitions("band", "id")
-    groups = cut(bands.mapInArrow(_groups, "group long, id long, segment long").distinct())
-    keyed = groups.select("group", _key().alias("key")).distinct()
+def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs``: doc_id, mark, text. The lines that aren't blank (doc_id, mark, line_no, name), for those that are linked to another node (the name) and root, and the documents (doc_id, mark, n_lines)."""
+    packed = docs.select("text").mapInArrow(_bands, "range int, rows binary").repartition("range").sortWithinPartitions("range")
+    groups = cut(packed.mapInArrow(lambda batches: _groups(_shared(batches)), "group long, id long, segment long").distinct())
+    keyed = groups.select("group", _key().alias("key"))
     rows = cut(docs.select("doc_id", "mark", "text").mapInArrow(_line_rows(bitmap_of(keyed, "key", BITMAP)), "doc_id long, mark long, line_no int, name binary, key long, norm string"))
-    texts = rows.where(F.col("norm").isNotNull()).select("key", "name", "norm").dropDuplicates(["key", "name"])
     large = groups.where(F.col("segment").isNotNull()).select("segment", "id").distinct()
-    links = cut(_verified(keyed, texts))
-    root = components(links)
+    root = components(_verified(keyed.repartition("key").distinct(), _texts(rows)))
     if not large.isEmpty():
-        more = _across(large, texts, root)
+        more = _across(large, _texts(rows), root)
         if more is not None:
-            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(more, texts)))
-    return rows.select("doc_id", "mark", "line_no", "name"), root
+            # only texts of lines that are compared again are shuffled again
+            more = cut(more)
+            marked, bit = with_bit(rows.where(F.col("norm").isNotNull()), F.col("key"), bitmap_rows(more, "key", BITMAP), BITMAP)
+            root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(more, _texts(marked.where(F.col(bit))))))
+    lines, own = rows.where("line_no >= 0").select("doc_id", "mark", "line_no", "name"), rows.where("line_no < 0")
+    return lines, root, own.select("doc_id", "mark", F.col("key").alias("n_lines"))
 
 
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, mark, n_lines, removed (numbers of removed lines from 0, ascending)."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("mark"), t.alias("text"))
-    lines, root = similar_lines(rows)
+    lines, root, sizes = similar_lines(rows)
     # only lines that are repeated or linked may go
     repeated = lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.col("name").alias("node"), F.col("name").alias("root"))
     concerned = repeated.join(root, "node", "left_anti").union(root.select("node", "root"))
@@ -429,7 +493,6 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     first = cut(named.groupBy(F.col("root").alias("r")).agg(F.min(order).alias("first")))
     late = named.join(first, F.col("root") == F.col("r")).where(order != F.col("first"))
     gone = late.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("k")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    sizes = rows.select("doc_id", "mark", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     return sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k")), "left").select("doc_id", "mark", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 

@@ -148,3 +148,39 @@ def test_run_of_lines_that_just_fills_a_chunk(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(lines.shingle_sets(many), sets, strict=True))
     again, more = lines.minima(many)
     assert np.array_equal(again, least) and np.array_equal(sizes, more) and sizes.all()
+
+
+def test_packed_bands_are_buckets(monkeypatch):
+    """12 bytes a band, and each bucket of two or more lines comes back whole, in order, however ranges are cut."""
+    rng = random.Random(9)
+    texts = ["\n".join("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(9)) for _ in range(40)]
+    texts += [x.replace("a", "b", 1) for x in texts] + [None, "", "\n \n"]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(texts[k : k + 7])], names=["text"]) for k in range(0, len(texts), 7)])
+    found = sorted({x for t in texts if t for x in lines.lines_of(t.encode()) if x})
+    bands, sizes = lines.signatures(found)
+    buckets = defaultdict(set)
+    for row, one in zip((bands >> np.uint64(64 - lines._RANGE_BITS - 32)).tolist(), lines.ids_of(lines.digests(found), sizes).tolist(), strict=True):
+        for band in row:
+            buckets[band].add(one)
+    expected = sorted((band, one) for band, ids in buckets.items() if len(ids) > 1 for one in ids)
+    assert sum(len(x) for b in lines._bands(batches()) for x in b.column(1).to_pylist()) == 12 * bands.size
+    for packed, at_once in ((1 << 20, 1 << 18), (500, 1), (3000, 40)):
+        monkeypatch.setattr(lines, "PACKED", packed)
+        monkeypatch.setattr(lines, "SORTED", at_once)
+        rows = sorted((r, x) for b in lines._bands(batches()) for r, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        shuffled = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows[k : k + 5]], pa.int32()), pa.array([x for _, x in rows[k : k + 5]], pa.binary())], names=["range", "rows"]) for k in range(0, len(rows), 5)]
+        out = [x for b in lines._shared(iter(shuffled)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(set(out)) == expected and out == sorted(out) and len({band for band, _ in out}) > 20
+
+
+def test_texts_are_shuffled_once_for_the_join(spark):
+    """Texts are dealt by the key that the join with groups uses, and number of lines comes with the lines' rows."""
+    rows = spark.createDataFrame([(1, b"n", "x"), (1, b"n", "x"), (1, b"m", "y"), (2, b"o", None)], "key long, name binary, norm string")
+    texts = lines._texts(rows)
+    assert sorted((r["key"], bytes(r["name"]), r["norm"]) for r in texts.collect()) == [(1, b"m", "y"), (1, b"n", "x")]
+    keyed = spark.range(1, 3).select(F.col("id").alias("group"), F.col("id").alias("key")).repartition("key").distinct()
+    joined = texts.hint("merge").join(keyed, "key")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    odd = [(1, 5, "a\n\r\n\n b"), (2, 6, ""), (3, 7, "\n"), (3, 7, "\n"), (None, 8, "x y\nz")]
+    _, _, own = lines.similar_lines(spark.createDataFrame(odd, "doc_id long, mark long, text string"))
+    assert sorted((r["doc_id"] or 0, r["mark"], r["n_lines"]) for r in own.collect()) == [(0, 8, 2), (1, 5, 4), (2, 6, 1), (3, 7, 2), (3, 7, 2)]
