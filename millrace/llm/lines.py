@@ -3,7 +3,7 @@
 Lines are normalised (white space runs to one space, trimmed, lower case); a line is named by a 128-bit digest. Its set of
 SHINGLE-character shingles gets one-permutation MinHash minima in BANDS x ROWS bins, once; two lines with Jaccard similarity
 0.8 share a band with probability 0.97, at 0.85 with 0.999 (a test measures it, with few distinct shingles too). What is shuffled is a band's hash and the line's id, a hash with the size of its set in front, packed to 12 bytes and gathered by
-range of the band's hash; a task sorts some ranges at a time, and a bucket's members stream by in order of size; where sizes differ by
+range of the band's hash; a task sorts some ranges at a time, a large one in runs that go to files, and a bucket's members stream by in order of size; where sizes differ by
 more than the similarity allows, it is split. Texts of
 lines in buckets with two or more members are then fetched in one more pass over the documents, which a bitmap of candidate
 ids (BITMAP bits, whatever the input) keeps from shuffling most others; exact Jaccard is computed on them, skipping pairs that
@@ -22,6 +22,7 @@ their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ BLOCK, PIVOTS = 224, 16
 BITMAP = 1 << 25
 SEEN = 200_000
 _BINS = BANDS * ROWS
-_CHUNK = 1 << 17
+# small enough for a core's cache
+_CHUNK = 1 << 15
 _KEY_BITS = 52
 # a line's size code is the logarithm of its number of distinct shingles; codes of similar lines are this close
 _CODES = 120
@@ -52,8 +54,9 @@ _LOW = np.uint64((1 << _HASH_BITS) - 1)
 # of a band's hash the first bits name a range and 32 more go with the id; lines that meet by chance are told apart by the exact comparison
 _RANGE_BITS = 14
 _ROW = np.dtype([("band", "<u4"), ("id", "<i8")])
-# rows that a task packs at once, and rows that a task sorts at once, or those of one range
-PACKED, SORTED = 1 << 20, 1 << 18
+_FULL = np.dtype([("band", "<i8"), ("id", "<i8")])
+# rows that a task packs at once; rows that it sorts at once, in whole ranges; rows that it holds of a range at most, beyond which they go to a temporary file
+PACKED, SORTED, RUN = 1 << 20, 1 << 18, 1 << 20
 
 
 # what makes white space inside a line differ from single spaces
@@ -120,13 +123,12 @@ def _line_sets(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
         else:
             points = _code_points(lines[at:stop])
             ends = points == 10
-            line = np.cumsum(ends, dtype=np.uint32)
-            hashes = _shingles(points)
-            n = len(hashes)
+            line = np.cumsum(ends, dtype=np.uint64)
+            x = _shingles(points)
+            n = len(x)
             inside = (line[:n] == line[SHINGLE - 1 :]) & ~ends[:n]
-            x = line[:n][inside].astype(np.uint64)
-            x <<= np.uint64(_HASH_BITS)
-            x |= hashes[inside]
+            x |= line[:n] << np.uint64(_HASH_BITS)
+            x = x[inside]
             x.sort()
             yield at, stop, x[np.concatenate(([True], x[1:] != x[:-1]))]
         at = stop
@@ -213,31 +215,72 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["id"], rows["band"]))]
+
+
+def _spilled(rows: np.ndarray) -> np.ndarray:
+    """The same rows in a file that goes when they do."""
+    with tempfile.TemporaryFile() as file:
+        rows.tofile(file)
+        file.flush()
+        return np.memmap(file, rows.dtype, "r")
+
+
+def _merged(runs: list[np.ndarray], step: int = 10_000) -> Iterator[np.ndarray]:
+    """The rows of sorted runs in order, ``step`` of each run at a time."""
+    at = [0] * len(runs)
+    while runs:
+        windows = [np.array(run[k : k + step]) for run, k in zip(runs, at, strict=True)]
+        # no row that isn't in a window comes before the least last row of windows that don't end their run
+        last = min((w[-1].item() for w, run, k in zip(windows, runs, at, strict=True) if k + step < len(run)), default=None)
+        for i, w in enumerate(windows if last else []):
+            low, high = np.searchsorted(w["band"], last[0]), np.searchsorted(w["band"], last[0], "right")
+            windows[i] = w[: low + np.searchsorted(w["id"][low:high], last[1], "right")]
+            at[i] += len(windows[i])
+        yield _in_order(np.concatenate(windows))
+        if last is None:
+            return
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of packed rows sorted by range: (band, id) of lines that aren't alone in a band, sorted."""
+    """Of packed rows sorted by range: (band, id), sorted; without lines that are alone in a band, unless they went to files."""
     held: list[tuple[int, np.ndarray]] = []
+    runs: list[np.ndarray] = []
+    last, n = None, 0
+
+    def rows() -> np.ndarray:
+        out = np.empty(n, _FULL)
+        packed = np.concatenate([x for _, x in held])
+        out["band"] = np.repeat(np.array([r for r, _ in held], np.int64) << 32, [len(x) for _, x in held]) | packed["band"].astype(np.int64)
+        out["id"] = packed["id"]
+        held.clear()
+        return out
 
     def settled() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([x for _, x in held])
-        bands = np.repeat(np.array([r for r, _ in held], np.int64) << 32, [len(x) for _, x in held]) | rows["band"].astype(np.int64)
-        order = np.argsort(bands)
-        same = np.diff(bands[order]) == 0
-        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        bands, ids = bands[order], rows["id"][order]
-        order = np.lexsort((ids, bands))
-        for k in range(0, len(order), 10_000):
-            some = order[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(bands[some]), pa.array(ids[some])], names=["band", "id"])
-
-    n = 0
+        if runs:
+            parts = _merged(runs + [_in_order(rows())] * (n > 0))
+        else:
+            every = rows()
+            order = np.argsort(every["band"])
+            same = np.diff(every["band"][order]) == 0
+            parts = [_in_order(every[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]])]
+        for part in parts:
+            for k in range(0, len(part), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(part[c][k : k + 10_000].copy()) for c in ("band", "id")], names=["band", "id"])
+        runs.clear()
+
     for batch in whole_batches(batches):
         for of, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if n >= SORTED and of != held[-1][0]:
+            if of != last and (n >= SORTED or runs):
                 yield from settled()
-                held, n = [], 0
+                n = 0
+            elif n >= RUN:
+                runs.append(_spilled(_in_order(rows())))
+                n = 0
             held.append((of, np.frombuffer(packed, _ROW)))
-            n += len(held[-1][1])
-    if held:
+            last, n = of, n + len(held[-1][1])
+    if held or runs:
         yield from settled()
 
 

@@ -173,6 +173,31 @@ def test_packed_bands_are_buckets(monkeypatch):
         assert sorted(set(out)) == expected and out == sorted(out) and len({band for band, _ in out}) > 20
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_ranges_go_through_files(monkeypatch, hot):
+    """A range of more rows than a task holds comes in order and whole; a task then holds no more than its bound."""
+    monkeypatch.setattr(lines, "RUN", 3000)
+    monkeypatch.setattr(lines, "SORTED", 1000)
+    rng, data, most = np.random.default_rng(4), [], []
+    spilled = lines._spilled
+    monkeypatch.setattr(lines, "_spilled", lambda rows: most.append(len(rows)) or spilled(rows))
+    monkeypatch.setattr(lines._merged, "__defaults__", (7,))
+    for of in (0, 3, 3, 5, 9):
+        for _ in range(40 if of == 3 else 1):
+            rows = np.zeros(500, lines._ROW)
+            rows["band"] = 4_000_000_000 if hot else rng.integers(0, 1 << 32, 500) // (1 << 24) << 24
+            rows["id"] = rng.integers(0, 1 << 62, 500) // (1 << 50)
+            data.append((of, rows))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in data[k : k + 6]], pa.int32()), pa.array([x.tobytes() for _, x in data[k : k + 6]], pa.binary())], names=["range", "rows"]) for k in range(0, len(data), 6)]
+    out = [x for b in lines._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    every = sorted((of << 32 | int(band), one) for of, rows in data for band, one in rows.tolist())
+    count = defaultdict(int)
+    for band, _ in every:
+        count[band] += 1
+    assert out == sorted(out) and [x for x in out if count[x[0]] > 1] == [x for x in every if count[x[0]] > 1]
+    assert len(most) > 8 and max(most) <= 3500
+
+
 def test_texts_are_shuffled_once_for_the_join(spark):
     """Texts are dealt by the key that the join with groups uses, and number of lines comes with the lines' rows."""
     rows = spark.createDataFrame([(1, b"n", "x"), (1, b"n", "x"), (1, b"m", "y"), (2, b"o", None)], "key long, name binary, norm string")
