@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import itertools
+import json
 import math
 import random
 import re
@@ -325,6 +327,38 @@ def test_tokens_of_a_long_text(spark):
     same(out, [(1, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), (2, len(ids), 1, zlib.crc32(np.array([2], "<u4").tobytes()))])
 
 
+def test_stretches_of_words_get_the_ids_of_the_file():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    plain, encode = Tokenizer.from_file(path), tokens.encoder(path)
+    assert len(encode.tokenizer.pre_tokenizer.pre_tokenize_str("Words, 12 of them.\nIn 2 lines")) == 1
+    rng = random.Random(4)
+    odd = [*"abcstdmlrevABZ  \n\n\t\r019'''.,!-\"&[]{}~`_éèàüßÀɏ×÷ …—²½\u0301\u200b\u00a0жя中の醒ーא\x1c\x85\x00😀İ", "'s", "'ll", " '", "  ", "\n ", " the", "[…]", ".—", "<|endoftext|>"]
+    words = [w for w in map(plain.decode, ([i] for i in range(0, 50_000, 25))) if "\ufffd" not in w]
+    texts = ["".join(rng.choice(odd if rng.random() < k % 3 / 2 else words) for _ in range(rng.randrange(40))) for k in range(9000)]
+    texts += ["".join(x) for x in itertools.product("a1.' \né—", repeat=4)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(encode([t.encode() for t in texts])) == want
+
+
+@pytest.mark.parametrize("merges", [["a."], [".a"], ["1a"], ["a1"], ["a\u0120"], [".\u010a"], ["\u010aa"], ["\u00a9."], [".\u00c3"], ["\u00c3\u00a9", "\u00c3\u00a9."]])
+def test_vocabularies_whose_tokens_cross_words_are_split_as_the_file_says(merges, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    def saved(name, merges, **more):
+        t = Tokenizer(models.BPE({x: k for k, x in enumerate([*tokens.byte_alphabet(), *merges])}, [(x[:-1], x[-1]) for x in merges], **more))
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        t.save(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    takes = lambda path: tokens.takes_stretches(json.loads(Tokenizer.from_file(path).to_str()))
+    bad = saved("bad", merges)
+    assert (takes(saved("good", ["ab", "\u0120a", "..", "12"])), takes(bad), takes(saved("whole", [], ignore_merges=True))) == (True, False, False)
+    text = "a.a1a a.\na1.a.\na1\né.é"
+    assert list(tokens.Encoder(bad)([text.encode()])) == [np.array(Tokenizer.from_file(bad).encode(text).ids, "<u4").tobytes()]
+
+
 def test_planes_random_access():
     ids = np.random.default_rng(1).integers(0, 1 << 32, 1000, dtype=np.uint32)
     for bits in (False, True):
