@@ -49,8 +49,9 @@ ENCODE_BYTES = 1 << 17
 # Fixed value: the library's own pattern of the ByteLevel step.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
-# Each alternative is a whole match of PATTERN wherever one may start; a stretch of them starts and ends where PATTERN's matches do.
-STRETCH = rf"(?:(?> ?[{LETTERS}]++(?!\p{{L}})| ?[0-9]++(?!\p{{N}})| ?[{MARKS}]++(?![^\s\p{{L}}\p{{N}}])|\n(?=\S))){{1,100}}"
+# Each alternative is one or more whole matches of PATTERN wherever one may start, so a stretch starts and ends where PATTERN's
+# matches do. The first one is the usual word with its marks, the others are for what precedes other characters.
+STRETCH = rf"(?:(?> ?[{LETTERS}0-9{MARKS}]++(?=[ \n])| ?[{LETTERS}]++(?!\p{{L}})| ?[0-9]++(?!\p{{N}})| ?[{MARKS}]++(?![^\s\p{{L}}\p{{N}}])|\n(?=\S))){{1,100}}"
 # An end of a match within a stretch, in a token's bytes; half a letter at a token's end is an escaped byte (two-byte letters start with C3 to C9).
 _HEAD, _TAIL = f"{LETTERS}\udcc3-\udcc9", f"{LETTERS}\udc80-\udcbf"
 _CROSSES = re.compile(rf"[{_TAIL}][0-9{MARKS} \n]|[0-9][{_HEAD}{MARKS} \n]|[{MARKS}][{_HEAD}0-9 \n]|\n[{_HEAD}0-9{MARKS}]")
@@ -73,8 +74,8 @@ def takes_stretches(kind: dict) -> bool:
     unset = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
     if model["type"] != "BPE" or any(model.get(x) for x in unset) or kind["normalizer"] or any(step.get(k) != v for k, v in plain.items()):
         return False
-    made = [t for t in model["vocab"] if len(t) > 1 and alphabet.keys() >= {*t}]
-    return not any(_CROSSES.search(bytes(alphabet[c] for c in t).decode("utf-8", "surrogateescape")) for t in made)
+    made = "\0".join(t for t in model["vocab"] if len(t) > 1).translate(str.maketrans({c: chr(b) for c, b in alphabet.items()}))
+    return not _CROSSES.search(made.encode("latin-1", "replace").decode("utf-8", "surrogateescape"))
 
 
 class Encoder:
